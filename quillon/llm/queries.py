@@ -27,10 +27,38 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import measure
+
+    return measure(table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.media import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op3_packing": op3_packing,
+        "op5_warc": op5_warc,
+        "op6_sharding": op6_sharding,
+        "op7_quality": op7_quality,
+        "op9_media": op9_media,
     }
 
 

@@ -129,6 +129,7 @@ class Model:
         if model_type != 2 or kinds & {USER_DEFINED, UNUSED} or crossing or self.suffix or not self.escape:
             raise ValueError("only BPE models whose pieces start at spaces are supported")
         self.score = {p: (-s, i) for i, (p, s, k) in enumerate(self.pieces) if k == NORMAL}
+        self.rank, self.none = {p: s for p, (s, _) in self.score.items()}, float("inf")
         self.id = {p: i for i, (p, _, k) in enumerate(self.pieces) if k == NORMAL}
         self.unknown = next(i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN)
         self.bytes = [i for i, (_, _, k) in enumerate(self.pieces) if k == BYTE]
@@ -190,16 +191,18 @@ class Model:
         """Symbols of one part after all merges, best score first, leftmost first among equals."""
         symbols: list[str | None] = list(part)
         n, score = len(symbols), self.score
-        if n <= 24:
-            while len(symbols) > 1:
-                best, where = None, -1
-                for i in range(len(symbols) - 1):
-                    s = score.get(symbols[i] + symbols[i + 1])
-                    if s is not None and (best is None or s[0] < best):
-                        best, where = s[0], i
-                if best is None:
-                    break
-                symbols[where : where + 2] = [symbols[where] + symbols[where + 1]]
+        if n <= 64:
+            # the scores of neighbours, kept beside the symbols; only those at a merge change
+            get, none = self.rank.get, self.none
+            ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+            while ranks and (best := min(ranks)) != none:
+                i = ranks.index(best)
+                symbols[i] += symbols.pop(i + 1)
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get(symbols[i - 1] + symbols[i], none)
+                if i < len(ranks):
+                    ranks[i] = get(symbols[i] + symbols[i + 1], none)
             return symbols
         before, after, agenda = list(range(-1, n - 1)), [*range(1, n), -1], []
 
@@ -229,7 +232,7 @@ class Model:
             i = self.id.get(s)
             if i is not None:
                 ids.append(i)
-                sizes.append(len(s.encode()))
+                sizes.append(len(s) if s.isascii() else len(s.encode()))
             elif self.first_byte is not None:
                 raw = s.encode()
                 ids += [self.first_byte + b for b in raw]
@@ -300,9 +303,9 @@ class Words(dict):
             ids, sizes = self.model.ids_of(SPACE + word)
             sizes[0] -= 2  # a space is one byte of the source and three of the normalised text
             value = (
-                np.array(ids, "<i4").tobytes(),
-                "".join(f"{i}," for i in ids).encode(),
-                np.array(sizes, "<i4").tobytes(),
+                struct.pack(f"<{len(ids)}i", *ids),
+                (",".join(map(str, ids)) + ",").encode(),
+                struct.pack(f"<{len(sizes)}i", *sizes),
             )
         if len(word) <= 48:
             if len(self) >= self.MOST:

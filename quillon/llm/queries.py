@@ -15,6 +15,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.repeats import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"), least=100)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.pieces import encode_digests
 
@@ -51,14 +57,22 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, share=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_packing": op3_packing,
         "op5_warc": op5_warc,
         "op6_sharding": op6_sharding,
         "op7_quality": op7_quality,
         "op9_media": op9_media,
+        "op10_minhash": op10_minhash,
     }
 
 

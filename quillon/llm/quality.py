@@ -22,6 +22,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
+def _once(value: Column) -> Column:
+    """value, marked so that the optimiser does not copy it into filters and later expressions."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _words(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
@@ -29,7 +34,7 @@ def _words(text: Column) -> Column:
 
 def with_words(docs: DataFrame) -> DataFrame:
     """Adds _text (null as empty), _words, _n_words."""
-    return docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_words", _words(F.col("_text"))).withColumn("_n_words", F.size("_words").cast("bigint"))
+    return docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_words", _words(F.col("_text"))).withColumn("_n_words", _once(F.size("_words").cast("bigint")))
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     twice = F.filter("_sorted", lambda x, j: F.coalesce(x["h"] == at(j + 1), F.lit(False)) | ((j > 0) & F.coalesce(x["h"] == at(F.greatest(j - 1, F.lit(0))), F.lit(False))))
     step = step.withColumn("_starts", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.transform("_starts", lambda x, j: F.when(j == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), x - F.get("_starts", F.greatest(j - 1, F.lit(0))))))
-    return step.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("_hashes", "_windows", "_repeats", "_sorted", "_starts")
+    return step.withColumn("n_repeat_words", _once(F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x))).drop("_hashes", "_windows", "_repeats", "_sorted", "_starts")
 
 
 def lines(text: str = "_text") -> Column:

@@ -33,6 +33,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.warc import round_trip
 
@@ -51,6 +58,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.media import store_and_read
 
@@ -68,9 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_packing": op3_packing,
+        "op4_language": op4_language,
         "op5_warc": op5_warc,
         "op6_sharding": op6_sharding,
         "op7_quality": op7_quality,
+        "op8_toxicity": op8_toxicity,
         "op9_media": op9_media,
         "op10_minhash": op10_minhash,
     }

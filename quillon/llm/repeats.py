@@ -165,10 +165,11 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """block, ids (doc_id of each row, null last), sizes, n_bytes, data (all texts, compressed)."""
+def blocks(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """block, ids (doc_id of each row, null last), sizes, n_bytes, data (all texts, compressed), carried (other columns)."""
     short_batches(docs.sparkSession)
-    schema = "block bigint, ids array<bigint>, sizes array<bigint>, n_bytes bigint, data binary"
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    schema = f"block bigint, ids array<bigint>, sizes array<bigint>, n_bytes bigint, data binary, carried array<{given.schema['carried'].dataType.simpleString()}>"
 
     def run(batches):
         from pyspark import TaskContext
@@ -176,30 +177,38 @@ def blocks(docs: DataFrame) -> DataFrame:
         task, number = TaskContext.get().partitionId(), 0
         ids: list = []
         texts: list[bytes] = []
+        carried: list[pa.Array] = []
         held = 0
 
         def out():
-            nonlocal ids, texts, held, number
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-            ids, texts = [ids[i] for i in order], [texts[i] for i in order]
-            row = {"block": (task << 32) + number, "ids": ids, "sizes": list(map(len, texts)), "n_bytes": held, "data": zstandard.compress(b"".join(texts), 3)}
-            batch = pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n_bytes", pa.int64()), ("data", pa.binary())]))
-            number, ids, texts, held = number + 1, [], [], 0
-            return batch
+            sorted_texts = [texts[i] for i in order]
+            others = pa.concat_arrays(carried).take(pa.array(order))
+            columns = [
+                pa.array([(task << 32) + number]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([list(map(len, sorted_texts))], pa.list_(pa.int64())),
+                pa.array([sum(map(len, texts))], pa.int64()), pa.array([zstandard.compress(b"".join(sorted_texts), 3)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), others),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "n_bytes", "data", "carried"])
 
         for b in batches:
             data, offsets = utf8(b.column(1))
-            raw = data.tobytes()
-            for i, doc in enumerate(b.column(0).to_pylist()):
+            raw, docs_here, since = data.tobytes(), b.column(0).to_pylist(), 0
+            for i, doc in enumerate(docs_here):
                 ids.append(doc)
                 texts.append(raw[offsets[i] : offsets[i + 1]])
                 held += len(texts[-1])
                 if held >= BLOCK:
+                    carried.append(b.column(2).slice(since, i + 1 - since))
                     yield out()
+                    number, since = number + 1, i + 1
+                    ids, texts, carried, held = [], [], [], 0
+            if since < len(docs_here):
+                carried.append(b.column(2).slice(since))
         if ids:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -340,7 +349,7 @@ def _compare(group: pa.Table, least: int) -> pa.Table:
     return pa.table(out, pa.schema([("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
 
-def covered(docs: DataFrame, *, least: int = 100) -> tuple[DataFrame, str]:
+def covered(docs: DataFrame, *, least: int = 100, carry: list[str] = ()) -> tuple[DataFrame, str]:
     """Blocks of all documents with their covered spans: the columns of `blocks`, and spans array<struct<n,data>>.
 
     Also the path of the written blocks.
@@ -348,7 +357,7 @@ def covered(docs: DataFrame, *, least: int = 100) -> tuple[DataFrame, str]:
     if least < 2 * GRAM:
         raise ValueError(f"passages of at least {2 * GRAM} bytes only")
     spark = docs.sparkSession
-    put, put_at = materialize(spark, blocks(docs), "blocks")
+    put, put_at = materialize(spark, blocks(docs, carry), "blocks")
     short_batches(spark, 4)
     total = put.agg(F.sum("n_bytes")).first()[0] or 0
     # anchors are about 2 / (windows' grams + 1) of all bytes
@@ -367,7 +376,7 @@ def covered(docs: DataFrame, *, least: int = 100) -> tuple[DataFrame, str]:
 
 
 def _cut(batches):
-    """Each document's id, bytes, covered spans merged, and what is left."""
+    """Each document's id, carried columns, bytes, covered bytes and runs, and what is left."""
     for r in _rows(batches):
         data, offsets, _ = _open(r)
         spans = [_unsqueeze(s["data"], s["n"], "<i4", "<i4", "<i4") for s in r["spans"] or []]
@@ -379,9 +388,9 @@ def _cut(batches):
         rises[1:] &= ~gone[:-1]
         bounds = offsets[:-1][np.diff(offsets) > 0]
         rises[bounds] = gone[bounds]
-        for i, doc in enumerate(r["ids"]):
+        for i, (doc, others) in enumerate(zip(r["ids"], r["carried"], strict=True)):
             a, b = int(offsets[i]), int(offsets[i + 1])
-            yield doc, b - a, int(gone[a:b].sum()), int(rises[a:b].sum()), data[a:b][~gone[a:b]].tobytes()
+            yield doc, others, b - a, int(gone[a:b].sum()), int(rises[a:b].sum()), data[a:b][~gone[a:b]].tobytes()
 
 
 def _batched(rows, make, size: int = 256):
@@ -400,19 +409,33 @@ def removal_digests(docs: DataFrame, *, least: int = 100) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
-        make = lambda doc, n, gone, spans, left: dict(zip(kinds.names, (doc, n, gone, spans, hashlib.sha256(left).hexdigest()), strict=True))
+        make = lambda doc, _, n, gone, spans, left: dict(zip(kinds.names, (doc, n, gone, spans, hashlib.sha256(left).hexdigest()), strict=True))
         for rows in _batched(_cut(batches), make):
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return covered(docs, least=least)[0].mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, *, least: int = 100) -> DataFrame:
-    """doc_id, text of every document less its repeated passages; characters cut in half go whole."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def without_repeats(docs: DataFrame, *, least: int = 100, carry: list[str] = ()) -> DataFrame:
+    """doc_id, text and the columns to carry of every document, less its repeated passages.
+
+    Characters cut in half go whole.
+    """
+    tables, _ = covered(docs, least=least, carry=carry)
+    struct = tables.schema["carried"].dataType.elementType.simpleString()
 
     def run(batches):
-        for rows in _batched(_cut(batches), lambda doc, n, gone, spans, left: {"doc_id": doc, "text": left.decode("utf-8", "ignore")}):
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+        kinds = None
+
+        def watched():
+            nonlocal kinds
+            for b in batches:
+                kinds = b.schema.field("carried").type.value_type
+                yield b
+
+        for rows in _batched(_cut(watched()), lambda doc, others, n, gone, spans, left: (doc, left.decode("utf-8", "ignore"), others)):
+            ids, texts, others = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(others, kinds)], names=["doc_id", "text", "carried"])
 
-    return covered(docs, least=least)[0].mapInArrow(run, "doc_id bigint, text string")
+    out = tables.mapInArrow(run, f"doc_id bigint, text string, carried {struct}")
+    return out.select("doc_id", "text", *[F.col(f"carried.`{c}`").alias(c) for c in carry])

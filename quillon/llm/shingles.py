@@ -24,12 +24,15 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, with A-Z lowered, and n + 1 positions where each text's words begin."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, with A-Z lowered, and n + 1 positions where each text's words begin.
+
+    between: for each byte, whether it stands between words.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = solid.copy()

@@ -76,7 +76,10 @@ def test_as_brute_force(spark, monkeypatch, small):
 
 def test_text_left_and_edges(spark):
     rows = corpus(12)[:40]
-    got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame([(i, t, None if i % 3 else f"s{i}", i) for i, t in rows], "doc_id long, text string, data string, n int")
+    found = without_repeats(docs, carry=["data", "n"]).collect()
+    assert all(r.n == r.doc_id and r.data == (None if r.n % 3 else f"s{r.n}") for r in found)
+    got = {r.doc_id: r.text for r in found}
     assert got == {i: w[4].decode("utf-8", "ignore") for i, w in brute(rows).items()}
     assert removal_digests(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = spark.createDataFrame([(None, "q" * 40 + "z" * 200), (1, "q" * 40 + "z" * 200), (1, "q" * 40 + "z" * 200)], "doc_id long, text string")

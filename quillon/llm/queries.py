@@ -93,4 +93,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; tests/llm holds the others to brute force."""
+    return {
+        "op5_warc": """WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+            d AS (SELECT *, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM p),
+            f AS (SELECT html, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY html)
+            SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                CASE WHEN first < page_id THEN first END AS refers_to, url, true AS digest_holds
+            FROM d LEFT JOIN f USING (html)""",
+        "op7_quality": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+            w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+            m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(x, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,
+                length(x) - length(regexp_replace(x, '\p{Lu}', '', 'g')) AS upper, length(regexp_replace(x, '[^\p{L}]', '', 'g')) AS letters FROM w),
+            u AS (SELECT doc_id, unnest(ws) AS y, generate_subscripts(ws, 1) AS i FROM w),
+            g AS (SELECT doc_id, i, concat_ws(' ', y, lead(y, 1) OVER o, lead(y, 2) OVER o, lead(y, 3) OVER o, lead(y, 4) OVER o) AS k, lead(y, 4) OVER o AS last FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+            c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g WHERE last IS NOT NULL),
+            s AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM c WHERE n > 1),
+            r AS (SELECT doc_id, CAST(sum(CASE WHEN p IS NULL THEN 5 ELSE least(5, i - p) END) AS BIGINT) AS n_repeat_words FROM s GROUP BY doc_id),
+            b AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)),
+            f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+                NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 10 * upper > 6 * letters OR 2 * letters < word_chars) AS kept FROM f""",
+    }

@@ -75,3 +75,22 @@ def test_entry_point_without_the_subpackage(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin", "HOME": "/tmp"}, capture_output=True, text=True, timeout=120)
     n, has, pipeline, held = out.stdout.split()
     assert int(n) > 80 and (has, pipeline, held) == ("False", "False", "True")
+
+
+def test_models_share_a_contract(spark, tmp_path):
+    from quillon.plans import models
+
+    cells = spark.createDataFrame([(u, i, 1.0) for u in range(12) for i in range(12) if (u + i) % 3], "u long, i long, r double")
+    small = {"mf": {"width": 2, "epochs": 1}, "bpr": {"width": 2, "epochs": 1}, "lightgcn": {"width": 2, "layers": 1, "epochs": 1}, "slim_bpr": {"epochs": 1}, "slim_elastic_net": {"candidates": 5}}
+    seen = {(r.u, r.i) for r in cells.collect()}
+    for name in ("p3_alpha", "rp3_beta", "item_knn", "slim_elastic_net", "slim_bpr", "mf", "bpr", "lightgcn"):
+        m = models.fit(name, cells, samples=200, **small.get(name, {})).check()
+        got = m.recommend(3, users=spark.createDataFrame([(1,), (2,)], "user_id long"), ignored=spark.createDataFrame([(0,)], "item_id long")).collect()
+        assert got and {r.user_id for r in got} <= {1, 2} and not {(r.user_id, r.item_id) for r in got} & seen and all(r.item_id != 0 and 1 <= r.pos <= 3 for r in got), name
+    m = models.fit("p3_alpha", cells, k=4)
+    m.save(f"{tmp_path}/m")
+    again = models.load(spark, f"{tmp_path}/m")
+    assert again.settings == {"k": 4} and again.recommend(2).exceptAll(m.recommend(2)).isEmpty()
+    assert models.load_or_none(spark, f"{tmp_path}/none") is None
+    with pytest.raises(ValueError):
+        models.fit("svd", cells)

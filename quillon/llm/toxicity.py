@@ -27,7 +27,7 @@ from quillon.llm.shingles import words
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
 #: Labelled documents of a class that are learned from at most.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Taken from counts of class bigrams and of shared contexts, and from the counts of contexts within a class.
 DISCOUNT, CLASS_DISCOUNT, WINDOW = 0.75, 3.0, 8
 

@@ -147,6 +147,5 @@ def keep_known(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
 
     doc_id must be a whole number; the text's columns travel through the scoring and are not shuffled.
     """
-    scored = identify(docs.withColumnsRenamed({"score": "_score_in", "held_out": "_held_in", "lang_pred": "_pred_in"}), learn(docs), *[{"score": "_score_in", "held_out": "_held_in", "lang_pred": "_pred_in"}.get(c, c) for c in docs.columns])
-    kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("held_out", "lang_pred", "score")
-    return kept.withColumnsRenamed({"_score_in": "score", "_held_in": "held_out", "_pred_in": "lang_pred"}).select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    return identify(whole, learn(docs), "_row").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

@@ -9,8 +9,8 @@ have equal anchors. An anchor's context is the text around it that windows throu
    equal contexts; later ones are repeats outright. (anchor, context digest, place) goes to a bucket by anchor.
 2. Buckets find contexts that other blocks hold too, and anchors with more than one context.
 3. Blocks send the bytes of those differing contexts to buckets by anchor. Each bucket builds an enhanced suffix array
-   over its contexts; a stack scan of the common-prefix interval tree, with the test for diverse bytes to the left,
-   gives the maximal repeat groups with all their occurrences, and all but the first occurrence are covered.
+   of the suffixes at its anchors; a stack scan of the common-prefix interval tree, with the test for diverse bytes to
+   the left, gives the maximal repeat groups with all their occurrences, and all but the first one are covered.
 4. Blocks cut what is covered.
 
 An anchor with very many contexts (a line that millions of documents hold, each in other words) isn't gathered: each
@@ -37,7 +37,7 @@ from quillon.llm.suffix import merge, repeated
 
 GRAM = 32
 #: Bytes of a block, of a piece of it that is worked on at once, and anchors of a bucket on average.
-BLOCK, PIECE, BUCKET = 4 << 20, 1 << 18, 250_000
+BLOCK, PIECE, BUCKET = 4 << 20, 1 << 17, 250_000
 #: Contexts of one anchor that a block sends, and that a bucket compares, before they are dealt as windows.
 MANY_HERE, MANY = 1024, 16_384
 #: Contexts in one suffix array, if they do not share an anchor.
@@ -109,20 +109,22 @@ class Anchors:
             gram = _T[piece]
             for k in (1, 2, 4, 8, 16):
                 gram = gram[:-k] * np.uint64(0xD6E8FEB86659FD93 + 2 * k) + gram[k:]
-            gram = mix64(gram) | np.uint64(1)
+            gram = mix64(gram)
             row_end = np.repeat(bounds[1:], np.diff(bounds))
             place = np.arange(len(piece))
-            window = _sliding(gram, reach + 1, np.minimum)
+            short = (gram >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # equal ones are both anchors
+            window = _sliding(short, reach + 1, np.minimum)
             window[place[: len(window)] + least > row_end[: len(window)]] = 0
-            padded = np.concatenate([np.zeros(reach, np.uint64), window, np.zeros(reach, np.uint64)])
-            at = np.flatnonzero(_sliding(padded, reach + 1, np.maximum) == gram)
+            padded = np.zeros(len(window) + 2 * reach, np.uint32)
+            padded[reach : reach + len(window)] = window
+            at = np.flatnonzero(_sliding(padded, reach + 1, np.maximum) == short)
             at = at[(at >= core - low) & (at < stop - low)]
             row = np.searchsorted(bounds, at, side="right") - 1
             begin, end = np.maximum(at - reach, bounds[row]), np.minimum(at + least, bounds[row + 1])
             context = mix64(Digests(piece).of(begin, end) + (at - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-            parts.append((gram[at], context, row + first, begin + low, end + low))
-        empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
-        self.gram, self.context, self.row, self.begin, self.end = (np.concatenate(x) for x in zip(*(parts or [empty]), strict=True))
+            parts.append((gram[at], context, row + first, begin + low, end + low, at - begin))
+        empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
+        self.gram, self.context, self.row, self.begin, self.end, self.left = (np.concatenate(x) for x in zip(*(parts or [empty]), strict=True))
         # the first of equal contexts in this block; the others repeat it
         self.first = _firsts(self.context)
         kept = np.flatnonzero(self.first)
@@ -168,7 +170,7 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def blocks(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     """block, ids (doc_id of each row, null last), sizes, n_bytes, data (all texts, compressed), carried (other columns)."""
     short_batches(docs.sparkSession)
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(F.lit(0).alias("_always"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
     schema = f"block bigint, ids array<bigint>, sizes array<bigint>, n_bytes bigint, data binary, carried array<{given.schema['carried'].dataType.simpleString()}>"
 
     def run(batches):
@@ -292,6 +294,7 @@ def _answer(batches, least: int, buckets: int, spread: int):
         row = np.concatenate([a.row[differing], row[new]])
         begin = np.concatenate([a.begin[differing], start[new]])
         length = np.concatenate([a.end[differing] - a.begin[differing], np.full(int(new.sum()), least)])
+        left = np.concatenate([a.left[differing], np.zeros(int(new.sum()), np.int64)])
         out = {"kind": [], "key": [], "block": [], "n": [], "data": []}
 
         def add(kind, k, n, blob, out=out, block=r["block"]):
@@ -303,7 +306,7 @@ def _answer(batches, least: int, buckets: int, spread: int):
             order = np.argsort(to, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                 text = data[_ranges(begin[part], length[part])]
-                add(1, int(to[part[0]]), len(part), _squeeze(key[part], ids[row[part]], row[part].astype("<i4"), begin[part].astype("<i4"), length[part].astype("<i4"), text))
+                add(1, int(to[part[0]]), len(part), _squeeze(key[part], ids[row[part]], row[part].astype("<i4"), begin[part].astype("<i4"), left[part].astype("<i4"), length[part].astype("<i4"), text))
         row, begin, end = merge(*(np.concatenate(x) for x in zip(*spans, strict=True)))
         if len(row):
             add(0, 0, len(row), _squeeze(row.astype("<i4"), begin.astype("<i4"), end.astype("<i4")))
@@ -316,16 +319,14 @@ def _compare(group: pa.Table, least: int) -> pa.Table:
     parts, strings = [], []
     for blob, n in zip(group["data"], sizes.tolist(), strict=True):
         raw = zstandard.decompress(blob.as_py())
-        heads = [np.frombuffer(raw, k, n, at) for k, at in (("<u8", 0), ("<i8", 8 * n), ("<i4", 16 * n), ("<i4", 20 * n), ("<i4", 24 * n))]
-        ends = 28 * n + np.cumsum(heads[4], dtype=np.int64)
-        strings += [raw[e - s : e] for e, s in zip(ends.tolist(), heads[4].tolist(), strict=True)]
+        heads = [np.frombuffer(raw, k, n, at) for k, at in (("<u8", 0), ("<i8", 8 * n), ("<i4", 16 * n), ("<i4", 20 * n), ("<i4", 24 * n), ("<i4", 28 * n))]
+        ends = 32 * n + np.cumsum(heads[5], dtype=np.int64)
+        strings += [raw[e - s : e] for e, s in zip(ends.tolist(), heads[5].tolist(), strict=True)]
         parts.append(heads)
-    key, doc, row, begin, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, doc, row, begin, left, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
     block = np.repeat(blocks, sizes)
-    order = np.lexsort([row, block, doc])
-    step = np.concatenate([[0], (np.diff(row[order]) != 0) | (np.diff(block[order]) != 0) | (np.diff(doc[order]) != 0)])
-    document = np.empty(len(key), np.int64)
-    document[order] = np.cumsum(step)
+    place = np.empty(len(key), np.int64)
+    place[np.lexsort([begin + left, row, block, doc])] = np.arange(len(key))
     by_key = np.argsort(key, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], key[by_key][1:] != key[by_key][:-1]]))
     stops, at = np.concatenate([edges[1:], [len(key)]]).tolist(), 0
@@ -335,8 +336,8 @@ def _compare(group: pa.Table, least: int) -> pa.Table:
             continue  # whole anchors go into one array while they fit
         members = by_key[at:stop]
         at = stop
-        if len(members):
-            s, b, e = repeated([strings[m] for m in members], document[members], begin[members].astype(np.int64), least)
+        if len(members) > 1:
+            s, b, e = repeated([strings[m] for m in members], left[members].astype(np.int64), place[members], least)
             m = members[s]
             found.append((block[m], row[m], begin[m] + b, begin[m] + e))
     out = {"block": [], "n": [], "data": []}
@@ -381,7 +382,8 @@ def _cut(batches):
         data, offsets, _ = _open(r)
         spans = [_unsqueeze(s["data"], s["n"], "<i4", "<i4", "<i4") for s in r["spans"] or []]
         change = np.zeros(len(data) + 1, np.int64)
-        for _, begin, end in spans:
+        if spans:
+            _, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
             change += np.bincount(begin, minlength=len(change)) - np.bincount(end, minlength=len(change))
         gone = np.cumsum(change[:-1]) > 0
         rises = gone.copy()

@@ -1,131 +1,131 @@
-"""Enhanced suffix arrays over many short strings, and the maximal repeats they hold."""
+"""Sparse enhanced suffix arrays and the maximal repeats they hold.
+
+Every string has one suffix in the array: the one that starts at its anchor. The suffixes are sorted, and the common
+prefixes of neighbours give, in one scan with a stack, the tree of common-prefix intervals. In each interval the texts
+to the left of the anchors are ordered likewise, read backwards, which tests them for left extension: where the bytes
+before two members differ, the interval parts. What remains are maximal repeats, each with all its occurrences.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-class SuffixArray:
-    """Suffixes of `strings` of at least `least` bytes in lexicographic order, with common prefixes of neighbours.
+def _grid(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as rows of bytes, filled up with zeros to a multiple of eight, and their lengths."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    width = max(8, -(-int(sizes.max(initial=0)) // 8) * 8)
+    return np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(-1, width), sizes
 
-    Ranks of 8-, 16-, 32- and 64-byte prefixes come from doubling; a suffix is ordered by as many 64-byte ranks as
-    the longest string needs. Strings are short (a few hundred bytes at most).
 
-    string, start: what each suffix belongs to, in suffix order. lcp[i]: common prefix of suffixes i - 1 and i.
-    left[i]: the byte before suffix i, or -1 - i where its string begins, which differs from everything.
-    """
+def ordered(grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The lexicographic order of the rows."""
+    words = np.ascontiguousarray(grid).view(">u8").astype(np.uint64)
+    # zero bytes may equal the filling; the shorter row then goes first
+    return np.lexsort([sizes, *words.T[::-1]])
+
 
-    def __init__(self, strings: list[bytes], least: int):
-        sizes = np.array([len(s) for s in strings], np.int64)
-        longest = int(sizes.max(initial=0))
-        steps = -(-longest // 64)
-        width = longest + 64 * steps + 64
-        grid = np.zeros((len(strings), width), np.uint8)
-        for i, s in enumerate(strings):
-            grid[i, : len(s)] = np.frombuffer(s, np.uint8)
-        flat = grid.ravel()
-        words = np.zeros(len(flat), np.uint64)
-        for k in range(8):
-            words[: len(flat) - k] |= flat[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
-        ranks = {8: _dense(words)}
-        for n in (8, 16, 32):
-            ahead = np.zeros_like(ranks[n])
-            ahead[:-n] = ranks[n][n:]
-            ranks[2 * n] = _dense(ranks[n] * (ahead.max(initial=0) + 1) + ahead)
-        count = np.maximum(sizes - least + 1, 0)
-        string = np.repeat(np.arange(len(strings)), count)
-        start = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-        at, left_over = string * width + start, sizes[string] - start
-        # zero bytes may equal the padding; the shorter suffix then goes first
-        order = np.lexsort([left_over, *(ranks[64][at + 64 * k] for k in reversed(range(steps)))]) if len(at) else at
-        self.string, self.start, at, left_over = string[order], start[order], at[order], left_over[order]
-        one, two, same = at[:-1], at[1:], np.zeros(max(len(at) - 1, 0), np.int64)
-        going = np.ones(len(same), bool)
-        for _ in range(steps):
-            going &= ranks[64][one + same] == ranks[64][two + same]
-            same += 64 * going
-        for n in (32, 16, 8):
-            same += n * (ranks[n][one + same] == ranks[n][two + same])
-        going = np.ones(len(same), bool)
-        for _ in range(8):
-            going &= flat[one + same] == flat[two + same]
-            same += going
-        self.lcp = np.concatenate([[0], np.minimum(same, np.minimum(left_over[:-1], left_over[1:]))]).astype(np.int64)[: len(at)]
-        self.left = np.where(self.start > 0, flat[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))
-
-
-def _dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks of keys from 0, equal keys equal."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if len(keys) else 0
+def common(grid: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefix lengths of rows a and rows b."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        differs = grid[x] != grid[y]
+        first = differs.argmax(axis=1)
+        first[~differs[np.arange(len(x)), first]] = grid.shape[1]
+        out[at : at + (1 << 14)] = np.minimum(first, np.minimum(sizes[x], sizes[y]))
     return out
 
 
-def maximal_repeats(array: SuffixArray, least: int) -> list[tuple[int, int, int]]:
-    """(first, last, length): suffixes first to last share exactly `length` >= least bytes, and not all the same byte before.
+def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(first, last, length) of all common-prefix intervals of at least `least`: one scan with a stack.
 
-    One scan with a stack builds the common-prefix interval tree from the leaves up. Each open interval carries the
-    byte that stands before all its suffixes, or DIVERSE once two differ; only diverse intervals are maximal, the
-    others are part of the one that begins a byte earlier.
+    lcp[i] is the common prefix of i - 1 and i. Every maximal run of positions that share exactly `length` comes once.
     """
-    DIVERSE = 256
     out: list[tuple[int, int, int]] = []
-    stack: list[list[int]] = []  # length, first, byte before
-    high = np.flatnonzero(array.lcp >= least)
-    if not len(high):
-        return out
-    lcp, left = array.lcp[high].tolist(), array.left[high].tolist()
-    before = array.left[high - 1].tolist()
-
-    def close(down_to: int, last: int) -> int:
-        """Close intervals longer than down_to; gives where the last closed one began."""
-        first = last
-        while stack and stack[-1][0] > down_to:
-            length, first, byte = stack.pop()
-            if byte == DIVERSE or byte < 0:
-                out.append((first, last, length))
-            if stack and stack[-1][2] != byte:
-                stack[-1][2] = DIVERSE
-            if stack and stack[-1][0] < down_to or not stack and down_to:
-                stack.append([down_to, first, byte])
-                break
-        return first
-
+    high = np.flatnonzero(lcp >= least)
+    stack: list[tuple[int, int]] = []  # length, first
     previous = -2
-    for i, length, byte, other in zip(high.tolist(), lcp, left, before, strict=True):
+    for i, n in zip(high.tolist(), lcp[high].tolist(), strict=True):
         if i != previous + 1:
-            close(0, previous)
-            stack.clear()
-        if not stack or stack[-1][0] < length:
-            if stack and stack[-1][2] != other:
-                stack[-1][2] = DIVERSE
-            stack.append([length, i - 1, other])
-        elif stack[-1][0] > length:
-            close(length, i - 1)
-        if stack[-1][2] != byte:
-            stack[-1][2] = DIVERSE
+            out += [(first, previous, length) for length, first in stack]
+            stack = [(n, i - 1)]
+        elif n != stack[-1][0]:
+            first = i - 1
+            while stack and stack[-1][0] > n:
+                length, first = stack.pop()
+                out.append((first, i - 1, length))
+            if not stack or stack[-1][0] < n:
+                stack.append((n, first))
         previous = i
-    close(0, previous)
+    out += [(first, previous, length) for length, first in stack]
     return out
 
 
-def repeated(strings: list[bytes], document: np.ndarray, begin: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What later occurrences of maximal repeats cover: string, begin and end within it, sorted and merged.
+class Repeats:
+    """Maximal repeats of at least `least` bytes through the anchors of strings.
+
+    anchor: the place of each string's anchor in it. Every repeat has members[first : last + 1], strings that agree in
+    `left` bytes before and `right` bytes from their anchors, and in no more on either side.
+    """
 
-    document: the rank of the document that each string is from, and begin its place there. Strings of a document may
-    overlap; suffixes at the same place are the same occurrence.
+    def __init__(self, strings: list[bytes], anchor: np.ndarray, least: int):
+        places = anchor.tolist()
+        right, n_right = _grid([s[p:] for s, p in zip(strings, places, strict=True)])
+        left, n_left = _grid([s[:p][::-1] for s, p in zip(strings, places, strict=True)])
+        order = ordered(right, n_right)
+        lcp = np.concatenate([[0], common(right, n_right, order[:-1], order[1:])])
+        nodes = intervals(lcp, max(1, least - int(n_left.max(initial=0))))
+        size = np.array([last - first + 1 for first, last, _ in nodes], np.int64)
+        node = np.repeat(np.arange(len(nodes)), size)
+        begin = np.array([first for first, _, _ in nodes], np.int64)
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        depth = np.array([length for _, _, length in nodes], np.int64)[node]
+        # within a node, a child begins where neighbours share no more than the node does
+        child = np.cumsum((lcp[at] == depth) | (at == begin[node]))
+        member = order[at]
+        back = np.empty(len(strings), np.int64)
+        back[ordered(left, n_left)] = np.arange(len(strings))
+        turn = np.lexsort([back[member], node])
+        self.members, node, depth, child = member[turn], node[turn], depth[turn], child[turn]
+        together = np.flatnonzero(node[1:] == node[:-1])
+        total = np.zeros(len(node), np.int64)
+        total[together + 1] = common(left, n_left, self.members[together], self.members[together + 1]) + depth[together + 1]
+        # members of a node agree in its depth to the right, so totals compare what they share to the left
+        found = np.array(intervals(total, least), np.int64).reshape(-1, 3)
+        if len(found):
+            # members of one child agree in more to the right, so they are a repeat of that child
+            ends = np.stack([found[:, 0], found[:, 1] + 1], axis=1).ravel()
+            padded = np.append(child, child[-1])
+            found = found[np.minimum.reduceat(padded, ends)[::2] != np.maximum.reduceat(padded, ends)[::2]]
+        #: first and last member, bytes to the left, bytes to the right
+        self.found = np.column_stack([found[:, :2], found[:, 2] - depth[found[:, 0]], depth[found[:, 0]]])
+
+
+def repeated(strings: list[bytes], anchor: np.ndarray, place: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What all but the first occurrence of each maximal repeat cover: string, begin and end in it, sorted and merged.
+
+    place: the order of the strings' anchors in the corpus, all different.
     """
-    array = SuffixArray(strings, least)
-    place = document[array.string] * (1 << 32) + begin[array.string] + array.start
-    best = np.zeros(len(place), np.int64)
-    for first, last, length in maximal_repeats(array, least):
-        part = slice(first, last + 1)
-        later = place[part] > place[part].min()
-        best[part][later] = np.maximum(best[part][later], length)
-    at = np.flatnonzero(best)
-    return merge(array.string[at], array.start[at], array.start[at] + best[at])
+    r = Repeats(strings, anchor, least)
+    width = int(r.found[:, 2].max(initial=0)) + 1
+    reach = np.zeros(len(strings) * width, np.int32)  # for each string and bytes to the left, the most to the right
+    size = r.found[:, 1] - r.found[:, 0] + 1
+    upto = np.cumsum(size)
+    begin = 0
+    while begin < len(size):  # so many at once that memory stays small
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + (1 << 20))))
+        first, _, left, right = r.found[begin:end].T
+        n = size[begin:end]
+        starts = np.cumsum(n) - n
+        member = r.members[np.repeat(first - starts, n) + np.arange(int(n.sum()))]
+        when = place[member]
+        later = when != np.repeat(np.minimum.reduceat(when, starts), n)
+        np.maximum.at(reach, (member * width + np.repeat(left, n))[later], np.repeat(right, n)[later].astype(np.int32))
+        begin = end
+    at = np.flatnonzero(reach)
+    member, left = at // width, at % width
+    return merge(member, anchor[member] - left, anchor[member] + reach[at])
 
 
 def merge(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,19 +1,23 @@
-"""Suffix arrays, maximal repeats and coverage against brute force."""
+"""Intervals, maximal repeats and coverage against brute force."""
 
 import random
 
 import numpy as np
 
-from quillon.llm.suffix import SuffixArray, maximal_repeats, merge, repeated
+from quillon.llm.suffix import Repeats, _grid, common, intervals, merge, ordered, repeated
 
 
-def some(seed, n=12, letters=b"ab\0", most=150):
+def some(seed, n=9, letters=b"ab\0", most=14):
+    """Strings around a common anchor, and its place in each."""
     dice = random.Random(seed)
-    pool = [bytes(dice.choice(letters) for _ in range(dice.randint(1, most))) for _ in range(4)]
-    return [b"".join(dice.choice(pool)[dice.randint(0, 9) :] for _ in range(dice.randint(1, 3)))[:168] for _ in range(n)]
+    side = lambda: bytes(dice.choice(letters) for _ in range(dice.randint(0, most)))
+    pool = [side() for _ in range(3)]
+    pick = lambda: dice.choice(pool) if dice.random() < 0.6 else side()
+    lefts = [pick() for _ in range(n)]
+    return [x + b"#" + pick() for x in lefts], np.array([len(x) for x in lefts])
 
 
-def common(a, b):
+def shared(a, b):
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
@@ -21,46 +25,66 @@ def common(a, b):
 
 
 def test_order_and_common_prefixes():
-    for seed in range(25):
-        strings = some(seed)
-        a = SuffixArray(strings, 5)
-        suffixes = [strings[s][p:] for s, p in zip(a.string, a.start, strict=True)]
-        assert sorted(suffixes) == suffixes
-        assert a.lcp.tolist() == [0] * bool(suffixes) + [common(x, y) for x, y in zip(suffixes, suffixes[1:], strict=False)]
-
-
-def test_maximal_repeats():
-    for seed in range(40):
-        least, strings = 6, some(seed, n=7, letters=b"ab", most=30)
-        a = SuffixArray(strings, least)
-        got = {(strings[a.string[f]][a.start[f] : a.start[f] + n], l - f + 1) for f, l, n in maximal_repeats(a, least)}
-        where = {}
-        for s, x in enumerate(strings):
-            for i in range(len(x)):
-                for j in range(i + least, len(x) + 1):
-                    where.setdefault(x[i:j], set()).add((s, i))
+    for seed in range(30):
+        strings, _ = some(seed, 20)
+        grid, sizes = _grid(strings)
+        order = ordered(grid, sizes)
+        rows = [strings[i] for i in order]
+        assert rows == sorted(rows)
+        assert common(grid, sizes, order[:-1], order[1:]).tolist() == [shared(a, b) for a, b in zip(rows, rows[1:], strict=False)]
+
+
+def test_intervals():
+    for seed in range(60):
+        dice = random.Random(seed)
+        lcp = np.array([0] + [dice.randint(0, 5) for _ in range(dice.randint(0, 25))])
+        got = intervals(lcp, 2)
         want = set()
-        for u, at in where.items():
-            befores = {strings[s][i - 1] if i else (s, i) for s, i in at}
-            afters = {strings[s][i + len(u)] if i + len(u) < len(strings[s]) else (s, i) for s, i in at}
-            if len(at) > 1 and len(befores) > 1 and len(afters) > 1:
-                want.add((u, len(at)))
+        for a in range(len(lcp)):
+            for b in range(a + 1, len(lcp)):
+                n = lcp[a + 1 : b + 1].min()
+                if n >= 2 and (lcp[a] < n) and (b + 1 == len(lcp) or lcp[b + 1] < n):
+                    want.add((a, b, int(n)))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_maximal_repeats_have_all_occurrences():
+    for seed in range(150):
+        least = 5
+        strings, anchor = some(seed)
+        r = Repeats(strings, anchor, least)
+        got = {(frozenset(r.members[f : l + 1].tolist()), a, b) for f, l, a, b in r.found.tolist()}
+        assert len(got) == len(r.found)
+        want = set()
+        lefts, rights = [s[:p][::-1] for s, p in zip(strings, anchor, strict=True)], [s[p:] for s, p in zip(strings, anchor, strict=True)]
+        for a in range(15):
+            for b in range(1, 16):
+                by = {}
+                for i, (x, y) in enumerate(zip(lefts, rights, strict=True)):
+                    if len(x) >= a and len(y) >= b:
+                        by.setdefault((x[:a], y[:b]), set()).add(i)
+                for group in by.values():
+                    if len(group) > 1 and a + b >= least:
+                        ends = [{z[i][n] if len(z[i]) > n else ("end", i) for i in group} for z, n in ((lefts, a), (rights, b))]
+                        if len(ends[0]) > 1 and len(ends[1]) > 1:
+                            want.add((frozenset(group), a, b))
         assert got == want, seed
 
 
 def test_coverage():
-    for seed in range(40):
-        least, strings = 8, some(seed, n=9, letters=b"ab", most=40)
-        order = np.array(random.Random(seed).sample(range(100), len(strings)))
-        row, begin, end = repeated(strings, order, np.zeros(len(strings), np.int64), least)
+    for seed in range(150):
+        least = 6
+        strings, anchor = some(seed)
+        place = np.array(random.Random(seed).sample(range(50), len(strings)))
+        row, begin, end = repeated(strings, anchor, place, least)
         got = {(r, i) for r, b, e in zip(row, begin, end, strict=True) for i in range(b, e)}
-        seen, want = set(), set()
-        for s in np.argsort(order):
-            for i in range(len(strings[s]) - least + 1):
-                w = strings[s][i : i + least]
-                if w in seen:
-                    want |= {(s, i + k) for k in range(least)}
-                seen.add(w)
+        want = set()
+        for y, (s, p) in enumerate(zip(strings, anchor, strict=True)):
+            for x, (t, q) in enumerate(zip(strings, anchor, strict=True)):
+                if place[x] < place[y]:
+                    a, b = shared(s[:p][::-1], t[:q][::-1]), shared(s[p:], t[q:])
+                    if a + b >= least:
+                        want |= {(y, i) for i in range(p - a, p + b)}
         assert got == want
 
 
@@ -68,11 +92,3 @@ def test_merge():
     r, b, e = merge(np.array([1, 0, 0, 0]), np.array([0, 5, 0, 9]), np.array([4, 9, 3, 12]))
     assert (r.tolist(), b.tolist(), e.tolist()) == ([0, 0, 1], [0, 5, 0], [3, 12, 4])
     assert len(repeated([], np.zeros(0, np.int64), np.zeros(0, np.int64), 3)[0]) == 0
-
-
-def test_overlapping_strings_of_a_document_are_one_occurrence():
-    text = bytes(range(60))
-    row, _, _ = repeated([text[:40], text[10:]], np.array([0, 0]), np.array([0, 10]), 8)
-    assert not len(row)
-    row, begin, end = repeated([text[:40], text[10:], text], np.array([0, 0, 1]), np.array([0, 10, 0]), 8)
-    assert set(row.tolist()) == {2} and begin[0] == 0 and end[-1] == 60

@@ -67,6 +67,17 @@ class Digests:
         return mix64((self.total[end] - self.total[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
+def _window_digests(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Digests of windows at ascending starts, a piece of the buffer at a time."""
+    out = np.zeros(len(start), np.uint64)
+    for low in range(0, len(data) if len(start) else 0, PIECE):
+        a, b = np.searchsorted(start, [low, low + PIECE])
+        if a < b:
+            at = start[a:b] - low
+            out[a:b] = Digests(data[low : low + PIECE + size]).of(at, at + size)
+    return out
+
+
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     """pick (minimum or maximum) of x[i : i + n] for each i with n values."""
     size = 1
@@ -287,7 +298,7 @@ def _answer(batches, least: int, buckets: int, spread: int):
         start, row = start[order], row[order]
         new = _firsts(start)
         start, row = start[new], row[new]
-        digest = Digests(data).of(start, start + least) if len(start) else np.zeros(0, np.uint64)
+        digest = _window_digests(data, start, least)
         new = _firsts(digest)
         spans.append((row[~new], start[~new], start[~new] + least))
         key = np.concatenate([a.gram[differing], digest[new]])

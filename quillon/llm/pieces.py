@@ -291,7 +291,7 @@ class Model:
 class Words(dict):
     """What a word after a space becomes, computed when first met. Two generations bound the memory."""
 
-    MOST = 150_000
+    MOST = 350_000
 
     def __init__(self, model: Model):
         super().__init__()

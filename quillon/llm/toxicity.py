@@ -138,7 +138,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
         v, w = pairs // (n + 1), pairs % (n + 1)
         full[c] = np.maximum(of - DISCOUNT, 0) / np.maximum(seen[v], 1) + weight[c][v] * single[c][w]
     ratio = lambda x: (np.log(x[1]) - np.log(x[0])).astype(np.float32)
-    model = Model(vocabulary, ratio(single), ratio(weight), pairs, ratio(full), np.zeros(4), prior)
+    # a word that only one class knows says nothing about what neither has seen after it
+    known = np.logical_and(*[np.bincount(k // (n + 1), minlength=n + 1) > 0 for k, _ in tables.values()])
+    model = Model(vocabulary, ratio(single), np.where(known, ratio(weight), np.float32(0)), pairs, ratio(full), np.zeros(4), prior)
     y = toxic[for_curve].astype(float)
     x = model.ratios(texts.filter(pa.array(for_curve)))
     share = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)

@@ -66,7 +66,8 @@ def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(docs, toxicity.learn(docs, none)).collect()
     assert len(got) == 5 and {r.score for r in got} == {0.0}
-    model = toxicity.fit(pa.array(["you scum", "nice words", "more scum here", "a nice day"] * 5), np.array([1, 0, 1, 0] * 5), 0.5)
+    names = "abcdefghijklmnopqrst"  # a word counts once more than a few words have stood before it
+    model = toxicity.fit(pa.array([t for a in names for t in (f"{a} scum", f"{a} nice", f"more {a} scum here", f"a {a} nice day")]), np.array([1, 0, 1, 0] * len(names)), 0.5)
     s = model.score(pa.array(["scum", "nice", "", None, "scum " * 20000]))
     assert s[0] > s[1] and s[2] == s[3] and s[4] > s[1] and np.isfinite(s).all()
     assert toxicity.score(docs.limit(0), model).count() == 0

@@ -36,8 +36,9 @@ from quillon.llm.common import discard, materialize, mix64, partitions, short_ba
 from quillon.llm.suffix import merge, repeated
 
 GRAM = 32
-#: Bytes of a block, of a piece of it that is worked on at once, and anchors of a bucket on average.
-BLOCK, PIECE, BUCKET = 4 << 20, 1 << 17, 250_000
+#: Bytes of a block (compressed, it stays under what the JVM holds apart as huge), of a piece of it that is worked on at
+#: once, and anchors of a bucket on average.
+BLOCK, PIECE, BUCKET = 1 << 20, 1 << 17, 250_000
 #: Contexts of one anchor that a block sends, and that a bucket compares, before they are dealt as windows.
 MANY_HERE, MANY = 1024, 16_384
 #: Contexts in one suffix array, if they do not share an anchor.

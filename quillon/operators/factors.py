@@ -57,7 +57,7 @@ def fit_mf(samples: Callable[[int], DataFrame], ids: tuple[DataFrame, DataFrame]
     model = Factors(initial(ids[0], width, seed=seed), initial(ids[1], width, seed=seed + 1), mean)
     best, best_score, waited = model, float("-inf"), 0
     for epoch in range(epochs):
-        s = samples(epoch)
+        s = _written(first if epoch == 0 else samples(epoch))  # drawn once, read by both sides
         u, i = model.users.select(F.col("id").alias("u"), F.col("factors").alias("p"), F.col("bias").alias("bu")), model.items.select(F.col("id").alias("i"), F.col("factors").alias("q"), F.col("bias").alias("bi"))
         e = s.join(u, "u").join(i, "i").withColumn("err", F.col("r") - (mean + F.col("bu") + F.col("bi") + dot(F.col("p"), F.col("q"))))
         grad = lambda a, b: F.zip_with(a, b, lambda x, y: F.col("err") * y - reg * x)
@@ -76,7 +76,7 @@ def fit_bpr(triples: Callable[[int], DataFrame], ids: tuple[DataFrame, DataFrame
     """Pairwise ranking on triples(epoch): u, i (seen), j (unseen)."""
     model = Factors(initial(ids[0], width, seed=seed), initial(ids[1], width, seed=seed + 1))
     for epoch in range(epochs):
-        t = triples(epoch)
+        t = _written(triples(epoch))
         name = lambda table, key, f: table.select(F.col("id").alias(key), F.col("factors").alias(f))
         e = t.join(name(model.users, "u", "p"), "u").join(name(model.items, "i", "qi"), "i").join(name(model.items, "j", "qj"), "j")
         e = e.withColumn("d", F.zip_with("qi", "qj", lambda x, y: x - y)).withColumn("s", 1.0 / (1.0 + F.exp(dot(F.col("p"), F.col("d")))))
@@ -101,7 +101,7 @@ def fit_lightgcn(cells: DataFrame, triples: Callable[[int], DataFrame], *, width
     base = _written(initial(nodes, width, seed=seed).select("id", F.col("factors").alias("vector")))
     for epoch in range(epochs):
         now = propagate(graph, base, layers, width)
-        t = triples(epoch).select(F.concat(F.lit("u"), "u").alias("u"), F.concat(F.lit("i"), "i").alias("i"), F.concat(F.lit("i"), "j").alias("j"))
+        t = _written(triples(epoch)).select(F.concat(F.lit("u"), "u").alias("u"), F.concat(F.lit("i"), "i").alias("i"), F.concat(F.lit("i"), "j").alias("j"))
         name = lambda key, v: now.select(F.col("id").alias(key), F.col("vector").alias(v))  # noqa: B023, E731
         e = t.join(name("u", "p"), "u").join(name("i", "qi"), "i").join(name("j", "qj"), "j")
         e = e.withColumn("d", F.zip_with("qi", "qj", lambda x, y: x - y)).withColumn("s", 1.0 / (1.0 + F.exp(dot(F.col("p"), F.col("d")))))
@@ -192,7 +192,10 @@ def slim_elastic_net(cells: DataFrame, *, k: int = 100, l1_ratio: float = 0.1, a
 
 
 def slim_bpr(cells: DataFrame, triples: Callable[[int], DataFrame], *, epochs: int = 3, rate: float = 0.05, reg: float = 1e-3, k: int = 100) -> DataFrame:
-    """(i, j, w): item-item weights by pairwise steps on triples(epoch): u, i (seen), j (unseen)."""
+    """(i, j, w): item-item weights by pairwise steps on triples(epoch): u, i (seen), j (unseen).
+
+    Each weight moves by its mean gradient, so that a step doesn't grow with the number of triples.
+    """
     seen = cells.where("r <> 0").select("u", F.col("i").alias("l"))
     w = None
     for epoch in range(epochs):
@@ -206,7 +209,7 @@ def slim_bpr(cells: DataFrame, triples: Callable[[int], DataFrame], *, epochs: i
             x = t.join(of("i").withColumnRenamed("s", "si"), "t", "left").join(of("j").withColumnRenamed("s", "sj"), "t", "left").select("t", (F.coalesce("si", F.lit(0.0)) - F.coalesce("sj", F.lit(0.0))).alias("x"))
         step = both.join(x, "t").withColumn("s", 1.0 / (1.0 + F.exp("x")))
         g = step.select(F.col("l").alias("i"), F.col("i").alias("j"), F.col("s").alias("g")).union(step.where("l <> j").select(F.col("l").alias("i"), F.col("j").alias("j"), -F.col("s")))
-        g = g.groupBy("i", "j").agg(F.sum("g").alias("g"))
+        g = g.groupBy("i", "j").agg(F.avg("g").alias("g"))
         w = g.select("i", "j", (rate * F.col("g")).alias("w")) if w is None else w.join(g, ["i", "j"], "full").select("i", "j", (F.coalesce("w", F.lit(0.0)) * (1 - rate * reg) + rate * F.coalesce("g", F.lit(0.0))).alias("w"))
         w = _written(w)
     return top_k(w.where("w <> 0"), "j", "w", "i", k).drop("pos").select("i", "j", "w")

@@ -36,6 +36,11 @@ def _numbered(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_at", at).join(first, "u").withColumn("n", F.col("_first") + F.col("_at")).drop("_first", "_at")
 
 
+def stored(cells: DataFrame) -> int:
+    """The number of stored cells: what an epoch of training draws."""
+    return cells.where("r <> 0").count()
+
+
 def positives(cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement of stored cells: draw, u, i, r."""
     stored = cells.where("r <> 0")

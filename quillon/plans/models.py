@@ -57,13 +57,22 @@ def _factor_tables(m: factors.Factors) -> dict[str, DataFrame]:
     return {"users": m.users, "items": m.items}
 
 
+#: Models that learn from draws of cells.
+DRAWING = ("slim_bpr", "mf", "bpr", "lightgcn")
+
+
 def _ids(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.select(F.col("u").alias("id")).distinct(), cells.select(F.col("i").alias("id")).distinct()
 
 
-def fit(name: str, cells: DataFrame, *, samples: int = 10_000, negative: float = 0.5, seed: int = 0, **settings) -> Model:
-    """Train p3_alpha, rp3_beta, item_knn, slim_elastic_net, slim_bpr, mf, bpr or lightgcn with its settings."""
+def fit(name: str, cells: DataFrame, *, samples: int | None = None, negative: float = 0.5, seed: int = 0, **settings) -> Model:
+    """Train p3_alpha, rp3_beta, item_knn, slim_elastic_net, slim_bpr, mf, bpr or lightgcn with its settings.
+
+    samples: draws per epoch of the models that learn from draws, by default as many as there are stored cells.
+    """
     users, items = cells.select("u").distinct(), cells.select("i").distinct()
+    if samples is None and name in DRAWING:
+        samples = sampling.stored(cells)
     pairs = lambda epoch: sampling.triples(cells, items, samples, seed + epoch)
     if name in ("p3_alpha", "rp3_beta"):
         tables = {"similarity": graph.p3_alpha(cells, **({"beta": 0.6} if name == "rp3_beta" else {}) | settings)}

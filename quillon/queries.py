@@ -698,22 +698,24 @@ def _ids(c: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query("train_mf")
 def _train_mf(spark, sf):
     c = _cells(spark, sf)
-    u, i = c.select("u").distinct(), c.select("i").distinct()
-    model = factors.fit_mf(lambda epoch: sampling.mixed(c, u, i, 3000, 0.5, epoch).select("u", "i", "r"), _ids(c), width=8, epochs=2)
+    u, i, n = c.select("u").distinct(), c.select("i").distinct(), sampling.stored(c)
+    model = factors.fit_mf(lambda epoch: sampling.mixed(c, u, i, n, 0.5, epoch).select("u", "i", "r"), _ids(c), width=8, epochs=2)
     return factors.recommend(model, c.select("u", "i"), 10)
 
 
 @query("train_bpr")
 def _train_bpr(spark, sf):
     c = _cells(spark, sf)
-    model = factors.fit_bpr(lambda epoch: sampling.triples(c, c.select("i").distinct(), 3000, epoch), _ids(c), width=8, epochs=2)
+    n = sampling.stored(c)
+    model = factors.fit_bpr(lambda epoch: sampling.triples(c, c.select("i").distinct(), n, epoch), _ids(c), width=8, epochs=2)
     return factors.recommend(model, c.select("u", "i"), 10)
 
 
 @query("train_lightgcn")
 def _train_lightgcn(spark, sf):
     c = _cells(spark, sf)
-    return factors.fit_lightgcn(c, lambda epoch: sampling.triples(c, c.select("i").distinct(), 2000, epoch), width=4, layers=2, epochs=1)
+    n = sampling.stored(c)
+    return factors.fit_lightgcn(c, lambda epoch: sampling.triples(c, c.select("i").distinct(), n, epoch), width=4, layers=2, epochs=1)
 
 
 @query("train_slim_elastic_net")
@@ -724,4 +726,5 @@ def _train_slim(spark, sf):
 @query("train_slim_bpr")
 def _train_slim_bpr(spark, sf):
     c = _cells(spark, sf)
-    return factors.slim_bpr(c, lambda epoch: sampling.triples(c, c.select("i").distinct(), 500, epoch), epochs=2, k=20)
+    n = sampling.stored(c)
+    return factors.slim_bpr(c, lambda epoch: sampling.triples(c, c.select("i").distinct(), n, epoch), epochs=2, k=20)

@@ -11,12 +11,17 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.ranking import top_k
 
 
+#: The most users and items that meet at once in a task.
+USERS, ITEMS = 2048, 4096
+
+
 @dataclass(frozen=True)
 class Factors:
     users: DataFrame  # id, factors, bias
@@ -134,26 +139,53 @@ def _saved(model: Factors) -> Factors:
 def recommend(model: Factors, seen: DataFrame, k: int) -> DataFrame:
     """The k best unseen items of each user by factors and biases.
 
-    Items are grouped in blocks that travel to the users' partitions; within a block, scores are one matrix product
-    and only the k best survive. Every user meets every item, which is what the model defines; no pair is a row.
+    Users and items are grouped in blocks, and each block of users meets each block of items: scores are one matrix
+    product, of which only the k best of each user survive. Every user meets every item, which is what the model
+    defines; no pair is a row.
     """
-    blocks = model.items.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("id", "factors", "bias")).alias("items"))
+    spark = model.users.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # rows are blocks
     taken = seen.groupBy("u").agg(F.collect_list("i").alias("taken"))
     users = model.users.join(taken, F.col("id") == F.col("u"), "left").select("id", "factors", "taken")
-    paired = users.crossJoin(blocks.select("block", "items"))
+
+    def blocks(side: DataFrame, n: int, rows: int, least: int, name: str) -> DataFrame:
+        parts = max(least, -(-n // rows))
+        dealt = side.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(parts, "block")
+        return dealt.groupBy("block").agg(F.collect_list(F.struct(*side.columns)).alias(name)).select(name)
+
+    paired = blocks(users, model.users.count(), USERS, 16, "users").crossJoin(blocks(model.items.select("id", "factors", "bias"), model.items.count(), ITEMS, 1, "items"))
     kind = model.users.schema["id"].dataType.simpleString()
+    plain = lambda a: a.to_numpy(zero_copy_only=False)
 
     def best(batches):
         for b in batches:
-            for row in b.to_pylist():
-                names = np.array([x["id"] for x in row["items"]])
-                scores = np.array([x["factors"] for x in row["items"]]) @ np.array(row["factors"]) + np.array([x["bias"] for x in row["items"]])
-                scores[np.isin(names, row["taken"] or [])] = -np.inf
-                at = np.lexsort([names, -np.round(scores, 12)])[:k]
-                at = at[np.isfinite(scores[at])]
-                yield pa.RecordBatch.from_pydict({"u": [row["id"]] * len(at), "j": names[at].tolist(), "score": scores[at].tolist()}, pa.schema([("u", b.schema.field("id").type), ("j", b.schema.field("id").type), ("score", pa.float64())]))
-
-    found = paired.select("id", "factors", "taken", "items").mapInArrow(best, f"u {kind}, j {kind}, score double")
+            for people, things in zip(b["users"], b["items"], strict=True):
+                people, things = people.values, things.values
+                things = things.take(pa.compute.sort_indices(things.field("id")))  # ties go to the lower id
+                names, width = things.field("id"), len(things.field("factors")[0])
+                q, bias = plain(things.field("factors").flatten()).reshape(-1, width), plain(things.field("bias"))
+                for at in range(0, len(people), 256):
+                    some = people.slice(at, 256)
+                    scores = plain(some.field("factors").flatten()).reshape(-1, width) @ q.T + bias
+                    known = some.field("taken")
+                    row = np.repeat(np.arange(len(some)), plain(pa.compute.fill_null(pa.compute.list_value_length(known), 0)))
+                    col = pa.compute.index_in(known.flatten(), value_set=names)
+                    hit = plain(col.is_valid())
+                    scores[row[hit], plain(col.drop_null())] = -np.inf
+                    rounded = np.round(scores, 12)
+                    rounded[~np.isfinite(rounded)] = -np.inf
+                    if k < len(names):
+                        least = np.partition(rounded, -k, axis=1)[:, -k, None]
+                        keep = rounded >= least
+                        for r in np.flatnonzero(keep.sum(1) > k):  # of equal scores at the end, the lower ids
+                            equal = np.flatnonzero(rounded[r] == least[r])
+                            keep[r, equal[k - (rounded[r] > least[r]).sum() :]] = False
+                    else:
+                        keep = np.ones_like(rounded, bool)
+                    r, c = np.nonzero(keep & (rounded > -np.inf))
+                    yield pa.RecordBatch.from_arrays([some.field("id").take(pa.array(r)), names.take(pa.array(c)), pa.array(scores[r, c])], names=["u", "j", "score"])
+
+    found = paired.mapInArrow(best, f"u {kind}, j {model.items.schema['id'].dataType.simpleString()}, score double")
     return top_k(found, "u", "score", "j", k).select(F.col("u").alias("user_id"), F.col("j").alias("item_id"), "pos", "score")
 
 

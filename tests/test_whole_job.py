@@ -1,5 +1,6 @@
 """Operators do the whole job: no fixed number of draws, no cap, no rows left out."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +42,25 @@ def test_item_weights_do_not_grow_with_the_number_of_triples(spark):
     once = sampling.triples(cells, cells.select("i").distinct(), 30, 1)
     one, many = ({(r.i, r.j): r.w for r in factors.slim_bpr(cells, lambda _: t, epochs=2).collect()} for t in (once, once.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9)))).drop("n")))
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
+
+
+def test_every_vector_is_scored(spark):
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in e]), np.array([r.x for r in e])
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -np.inf)
+    want = {(int(ids[a]), p + 1): int(ids[b]) for a in range(len(ids)) for p, b in enumerate(np.lexsort([ids, -s[a]])[:10])}
+    got = {(r.user_id, r.pos): r.item_id for r in queries.queries()["mf_topk_all"](spark, SMALL).collect()}
+    assert got == want and len(got) == 10 * len(ids)
+
+
+def test_blocks_of_users_and_items_keep_ties_and_seen_items(spark, monkeypatch):
+    monkeypatch.setattr(factors, "USERS", 2)
+    monkeypatch.setattr(factors, "ITEMS", 3)
+    users = spark.createDataFrame([(u, [1.0, float(u)], 0.0) for u in range(5)], "id long, factors array<double>, bias double")
+    items = spark.createDataFrame([(i, [0.0, float(i % 3)], 0.5 * (i == 7)) for i in range(11)], "id long, factors array<double>, bias double")
+    seen = {(0, 0), (0, 1), (2, 8), *((3, i) for i in range(9)), *((4, i) for i in range(11))}
+    got = factors.recommend(factors.Factors(users, items), spark.createDataFrame(sorted(seen), "u long, i long"), 4).collect()
+    score = lambda u, i: u * (i % 3) + 0.5 * (i == 7)
+    want = [(u, i, p + 1, score(u, i)) for u in range(5) for p, i in enumerate(sorted((i for i in range(11) if (u, i) not in seen), key=lambda i: (-score(u, i), i))[:4])]
+    assert sorted(tuple(r) for r in got) == sorted(want)

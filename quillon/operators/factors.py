@@ -189,17 +189,18 @@ def recommend(model: Factors, seen: DataFrame, k: int) -> DataFrame:
     return top_k(found, "u", "score", "j", k).select(F.col("u").alias("user_id"), F.col("j").alias("item_id"), "pos", "score")
 
 
-def slim_elastic_net(cells: DataFrame, *, k: int = 100, l1_ratio: float = 0.1, alpha: float = 1e-3, candidates: int = 200, sweeps: int = 30) -> DataFrame:
-    """(i, j, w): each target j is regressed on its `candidates` most co-occurring items with non-negative weights.
+def slim_elastic_net(cells: DataFrame, *, k: int = 100, l1_ratio: float = 0.1, alpha: float = 1e-3, candidates: int = 200, sweeps: int = 1000) -> DataFrame:
+    """(i, j, w): each target j is regressed on all other items with non-negative weights, of which the k largest stay.
 
-    The Gram matrix of a target's candidates is assembled by joins; coordinate descent runs on it in one group a
-    target, of at most candidates squared numbers.
+    A target starts with its `candidates` most co-occurring items. Coordinate descent runs on their Gram matrix in one
+    group a target; then every item left out is held to the optimality condition (its correlation with the rest is at
+    most the l1 penalty), and the up to `candidates` that break it most join the target's items. Targets without such
+    items are done, so the weights are those of the regression on all items.
     """
     used = cells.where("r <> 0")
     n = used.select("u").distinct().count()
-    pair = used.select("u", F.col("i").alias("a"), F.col("r").alias("x")).join(used.select("u", F.col("i").alias("b"), F.col("r").alias("y")), "u").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-    near = top_k(pair.where("a <> b").select(F.col("b").alias("j"), F.col("a").alias("i"), "g"), "j", "g", "i", candidates).select("j", "i", F.col("g").alias("c"))
-    gram = near.select("j", F.col("i").alias("a"), "c").join(near.select("j", F.col("i").alias("b")), "j").join(pair, ["a", "b"], "left").select("j", "a", "b", "c", F.coalesce("g", F.lit(0.0)).alias("g"))
+    l1, l2 = n * alpha * l1_ratio, n * alpha * (1 - l1_ratio)
+    pair = _written(used.select("u", F.col("i").alias("a"), F.col("r").alias("x")).join(used.select("u", F.col("i").alias("b"), F.col("r").alias("y")), "u").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g")))
     kind = cells.schema["i"].dataType.simpleString()
 
     def solve(group: pa.Table) -> pa.Table:
@@ -209,7 +210,6 @@ def slim_elastic_net(cells: DataFrame, *, k: int = 100, l1_ratio: float = 0.1, a
         g[at, np.searchsorted(names, b)] = group["g"].to_numpy()
         c = np.zeros(len(names))
         c[at] = group["c"].to_numpy()
-        l1, l2 = n * alpha * l1_ratio, n * alpha * (1 - l1_ratio)
         w = np.zeros(len(names))
         for _ in range(sweeps):
             was = w.copy()
@@ -220,7 +220,23 @@ def slim_elastic_net(cells: DataFrame, *, k: int = 100, l1_ratio: float = 0.1, a
         keep = np.flatnonzero(w)
         return pa.table({"i": pa.array(names[keep], group.schema.field("a").type), "j": pa.array([group["j"][0].as_py()] * len(keep), group.schema.field("j").type), "w": w[keep]})
 
-    return top_k(gram.groupBy("j").applyInArrow(solve, f"i {kind}, j {kind}, w double"), "j", "w", "i", k).drop("pos").select("i", "j", "w")
+    with_target = pair.where("a <> b").select(F.col("b").alias("j"), F.col("a").alias("i"), F.col("g").alias("c"))
+    near = _written(top_k(with_target, "j", "c", "i", candidates).select("j", "i", "c"))
+    open_, done = near, None
+    while True:
+        gram = open_.select("j", F.col("i").alias("a"), "c").join(open_.select("j", F.col("i").alias("b")), "j").join(pair, ["a", "b"], "left").select("j", "a", "b", "c", F.coalesce("g", F.lit(0.0)).alias("g"))
+        w = _written(gram.groupBy("j").applyInArrow(solve, f"i {kind}, j {kind}, w double"))
+        taken = w.join(pair.select(F.col("b").alias("i"), "a", "g"), "i").groupBy("j", F.col("a").alias("i")).agg(F.sum(F.col("g") * F.col("w")).alias("taken"))
+        # items without a common user come in as well, where values below 0 tie them to the target
+        left = with_target.join(open_.select("j").distinct(), "j", "left_semi").join(taken, ["j", "i"], "full").where("i <> j").join(open_, ["j", "i"], "left_anti")
+        left = left.select("j", "i", F.coalesce("c", F.lit(0.0)).alias("c"), (F.coalesce("c", F.lit(0.0)) - F.coalesce("taken", F.lit(0.0)) - l1).alias("over"))
+        more = _written(top_k(left.where(F.col("over") > l1 * 1e-6 + 1e-9), "j", "over", "i", candidates).select("j", "i", "c"))
+        again = more.select("j").distinct()
+        settled = w.join(again, "j", "left_anti")
+        done = settled if done is None else done.union(settled)
+        if more.isEmpty():
+            return top_k(done, "j", "w", "i", k).drop("pos").select("i", "j", "w")
+        open_ = _written(open_.join(again, "j", "left_semi").union(more))
 
 
 def slim_bpr(cells: DataFrame, triples: Callable[[int], DataFrame], *, epochs: int = 3, rate: float = 0.05, reg: float = 1e-3, k: int = 100) -> DataFrame:

@@ -64,3 +64,20 @@ def test_blocks_of_users_and_items_keep_ties_and_seen_items(spark, monkeypatch):
     score = lambda u, i: u * (i % 3) + 0.5 * (i == 7)
     want = [(u, i, p + 1, score(u, i)) for u in range(5) for p, i in enumerate(sorted((i for i in range(11) if (u, i) not in seen), key=lambda i: (-score(u, i), i))[:4])]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_elastic_net_regresses_on_all_items(spark):
+    dice = np.random.default_rng(4)
+    x = (dice.random((40, 9)) < 0.5) * dice.choice([1.0, 2.0, -1.0], (40, 9))
+    cells = spark.createDataFrame([(u, i, float(x[u, i])) for u in range(40) for i in range(9)], "u long, i long, r double")
+    n, want = int((x != 0).any(1).sum()), {}
+    for j in range(9):
+        g, w = x.T @ x, np.zeros(9)
+        for _ in range(3000):
+            for m in set(range(9)) - {j}:
+                w[m] = max(0.0, g[m, j] - g[m] @ w + g[m, m] * w[m] - n * 0.01 * 0.1) / (g[m, m] + n * 0.01 * 0.9)
+        want |= {(m, j): w[m] for m in np.flatnonzero(w)}
+    for candidates in (1, 2, 20):
+        got = {(r.i, r.j): r.w for r in factors.slim_elastic_net(cells, alpha=0.01, candidates=candidates).collect()}
+        small = {p for p in want.keys() ^ got.keys() if max(want.get(p, 0), got.get(p, 0)) > 1e-5}
+        assert not small and all(abs(got[p] - want[p]) < 1e-5 for p in got.keys() & want.keys()), candidates

@@ -37,16 +37,20 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def tokeniser(path: str):
-    """A byte-level BPE tokeniser over the vocabulary of a tokenizers file; special strings are ordinary text.
+def tokeniser(path: str, added: bool = False):
+    """A byte-level BPE tokeniser over the vocabulary of a tokenizers file.
 
-    The file's ids are its merge ranks, which is what the faster of the two installed libraries takes. `pattern` is
-    the pre-tokenisation rule of byte-level BPE.
+    added: strings of the file's added tokens become their ids, as in the tokenizers library as it is loaded; otherwise
+    they are ordinary text, as with its encode_special_tokens. The file's ids are its merge ranks, which is what the
+    faster of the two installed libraries takes. `pattern` is the pre-tokenisation rule of byte-level BPE.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocabulary, extra = file["model"]["vocab"], file.get("added_tokens", []) if added else []
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in extra):
+        raise ValueError("added tokens that take in spaces or stand only as whole words are not known here")
     letters = _byte_alphabet()
     ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
     # added tokens such as the end of text are no merges
@@ -54,11 +58,11 @@ def tokeniser(path: str):
     for t in special:
         del ranks[t]
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in extra})
 
 
 def token_ids(coder, text: str | None, end_id: int) -> np.ndarray:
-    return np.array([*coder.encode_ordinary(text or ""), end_id], "<u4")
+    return np.array([*coder.encode(text or "", allowed_special="all", disallowed_special=()), end_id], "<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -72,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, *,
     short_batches(docs.sparkSession)
 
     def run(batches):
-        coder = tokeniser(tokenizer_path)
+        coder = tokeniser(tokenizer_path, added=True)
         for b in batches:
             columns: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -88,10 +88,23 @@ def mixed(cells: DataFrame, users: DataFrame, items: DataFrame, n: int, negative
 
 
 def triples(cells: DataFrame, items: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """u, i (seen), j (unseen): positives with the first free of a few drawn items; draws without one are left out."""
+    """u, i (seen), j (unseen): positives with the first free of TRIES drawn items.
+
+    Positives that find none draw from the list of their user's free items; only users who have seen every item are
+    left out.
+    """
+    from quillon.operators.factors import _written
+
     ni = items.count()
     by_i = dense_index(items.select("i").distinct(), "i").select(F.col("i").alias("j"), F.col("idx").alias("b"))
-    p = positives(cells, n, seed).select("draw", "u", "i")
+    seen = cells.select("u", F.col("i").alias("j"))
+    p = _written(positives(cells, n, seed).select("draw", "u", "i"))
     tries = p.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(TRIES)))).withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit("n"), "draw", "t"), F.lit(ni)))
-    free = tries.join(by_i, "b").join(cells.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
-    return free.groupBy("draw").agg(F.min(F.struct("t", "u", "i", "j")).alias("x")).select("x.u", "x.i", "x.j")
+    free = tries.join(by_i, "b").join(seen, ["u", "j"], "left_anti")
+    got = _written(free.groupBy("draw").agg(F.min(F.struct("t", "u", "i", "j")).alias("x")).select("draw", "x.u", "x.i", "x.j"))
+    left = _written(p.join(got, "draw", "left_anti"))
+    if left.isEmpty():
+        return got.select("u", "i", "j")
+    rest = left.select("u").distinct().crossJoin(by_i.select("j")).join(seen, ["u", "j"], "left_anti")
+    last = left.join(rest, "u").groupBy("draw").agg(F.min(F.struct(F.xxhash64(F.lit(seed), F.lit("n"), "draw", "j"), "u", "i", "j")).alias("x")).select("x.u", "x.i", "x.j")
+    return got.select("u", "i", "j").union(last)

@@ -81,3 +81,10 @@ def test_elastic_net_regresses_on_all_items(spark):
         got = {(r.i, r.j): r.w for r in factors.slim_elastic_net(cells, alpha=0.01, candidates=candidates).collect()}
         small = {p for p in want.keys() ^ got.keys() if max(want.get(p, 0), got.get(p, 0)) > 1e-5}
         assert not small and all(abs(got[p] - want[p]) < 1e-5 for p in got.keys() & want.keys()), candidates
+
+
+def test_users_who_have_seen_most_items_keep_their_triples(spark):
+    cells = spark.createDataFrame([(0, i, 1.0) for i in range(399)] + [(1, i, 1.0) for i in range(400)] + [(2, 0, 1.0)], "u long, i long, r double")
+    drawn = {u: n for u, n in sampling.positives(cells, 300, 1).groupBy("u").count().collect()}
+    got = sampling.triples(cells, cells.select("i").distinct(), 300, 1).collect()
+    assert sum(r.u == 0 for r in got) == drawn[0] and not any(r.u == 1 for r in got) and all(r.j == 399 for r in got if r.u == 0)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,33 +13,44 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most; texts may be long, so batches are kept short.
+#: Rows that a kernel works on at once. What Spark sends at once it bounds by bytes (arrow.maxBytesPerBatch).
 BATCH_ROWS = 512
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def short(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few hundred rows, so that what a kernel derives from them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hold Arrow batches to a few hundred rows so that a Python worker's memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session that runs in one process (tests) gets a folder of its own; any other raises.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-            known = spark.sparkContext.getCheckpointDir()
-        at = known
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quillon-{tag}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/quillon-{tag}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -53,6 +65,21 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def written() -> list[str]:
+    """Intermediate tables that this process has written and not deleted."""
+    return list(_written)
+
+
+def discard_all(spark: SparkSession, *keep: str, since: list[str] = ()) -> None:
+    """Delete the intermediate tables but those to keep and those listed in since.
+
+    A result that an operator returns may read them when it is computed: write it, or collect it, first.
+    """
+    discard(spark, *[p for p in _written if p not in keep and p not in since])
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:

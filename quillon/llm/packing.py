@@ -8,13 +8,16 @@ whatever the number of documents) and applied to the rows in place:
 * smaller pieces, longest first, go where the gap left is smallest.
 
 Rows get their rank among pieces of their length from per-chunk counts and prefix sums, so no length is gathered in
-one task. Null text counts as empty: a document of the end id alone. Ties between equal lengths are broken by chunk,
-doc_id and piece number.
+one task; rows get numbers as they are written, and chunks are dealt by these, so no id can crowd one. Null text counts
+as empty: a document of the end id alone. Rows that repeat a doc_id, or have none, are documents of their own. Pieces of
+equal length are interchangeable: which of them goes where follows the rows' numbers. Texts of any length are encoded
+whole, those with very long white space by the tokenizers library itself. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, short_batches
+from quillon.llm.common import materialize, short
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -61,8 +64,25 @@ def tokeniser(path: str, added: bool = False):
     return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in extra})
 
 
-def token_ids(coder, text: str | None, end_id: int) -> np.ndarray:
-    return np.array([*coder.encode(text or "", allowed_special="all", disallowed_special=()), end_id], "<u4")
+#: White space of so many characters goes to the tokenizers library: the faster one's patterns recur on it.
+LONG_SPACE = 50_000
+
+
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, text: str | None, end_id: int) -> np.ndarray:
+    """The ids of a text, as the tokenizers library gives them without special tokens, and the end id."""
+    text = text or ""
+    if len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in re.finditer(r"\s+", text)):
+        ids = _library(path).encode(text, add_special_tokens=False).ids
+    else:
+        ids = tokeniser(path, added=True).encode(text, allowed_special="all", disallowed_special=())
+    return np.array([*ids, end_id], "<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -73,14 +93,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, *, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents; with_ids adds the token ids themselves."""
-    short_batches(docs.sparkSession)
 
     def run(batches):
-        coder = tokeniser(tokenizer_path, added=True)
-        for b in batches:
+        for b in short(batches):
             columns: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = token_ids(coder, text, end_id)
+                ids = token_ids(tokenizer_path, text, end_id)
                 for i, (at, n) in enumerate(cut(len(ids), capacity)):
                     part = ids[at : at + n]
                     for c, v in zip(columns, (doc, i, at, n, zlib.crc32(part.tobytes()), part if with_ids else None), strict=True):
@@ -179,17 +197,17 @@ def place(made: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """All pieces with the sequence and offset they are placed at: PIECE columns, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
-    cut_up, _ = materialize(spark, pieces(docs, tokenizer_path, capacity, end_id, with_ids=with_ids), "pieces")
+    cut_up, _ = materialize(spark, pieces(docs, tokenizer_path, capacity, end_id, with_ids=with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     by_length = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     made = plan(by_length, capacity)
     chunks = max(256, sum(by_length.values()) // 20_000)
-    chunked = cut_up.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
+    chunked = cut_up.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
     counts = chunked.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "chunk").orderBy("row")
     ranked = chunked.withColumn("own", F.row_number().over(own) - 1).join(base, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("own"))
-    names = cut_up.columns
+    names = [c for c in cut_up.columns if c != "row"]
     schema = PIECE + (", ids array<bigint>" if with_ids else "") + ", sequence_id bigint, offset bigint"
 
     def run(batches):

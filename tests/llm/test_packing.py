@@ -8,22 +8,20 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from quillon.llm.packing import cut, pack, place, plan, token_ids, tokeniser
+from quillon.llm.packing import LONG_SPACE, cut, pack, place, plan, token_ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def theirs():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_the_library():
-    lib, coder, dice = theirs(), tokeniser(PATH), random.Random(3)
+    lib, dice = theirs(), random.Random(3)
     letters = ["a", "The", " ", "  ", "\n", "\t", "é", "語", "🙂", "1", "'s", "'LL", "<|endoftext|>", " ", "　", "\r\n", "\0", "!", "³", "x" * 40]
     for text in ["", *("".join(dice.choice(letters) for _ in range(dice.randint(1, 40))) for _ in range(800))]:
-        assert token_ids(coder, text, 2).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 2], repr(text)
+        assert token_ids(PATH, text, 2).tolist() == [*lib.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
 def test_cut():
@@ -80,3 +78,22 @@ def test_pack_rows(spark):
         ends = np.cumsum([0, *(n for _, n in sorted(parts))])
         assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 1024
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def test_very_long_texts(spark):
+    lib = theirs()
+    texts = ["\n" * 2_000_000, "x" + " " * 1_200_000 + "y", "a" * 300_000, "word " * 200_000, " " * LONG_SPACE, "\t" * (LONG_SPACE - 1) + "<|endoftext|>", "語" * 100_000 + "\u3000" * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in pack(docs, PATH, with_ids=True).collect():
+        got[r.doc_id][r.piece] = r.ids
+    for i, text in enumerate(texts):
+        assert sum((got[i][p] for p in sorted(got[i])), []) == [*lib.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    docs = spark.createDataFrame([(1, "one two")] * 3 + [(None, "one two"), (None, "other"), (1, "third")], "doc_id long, text string")
+    got = pack(docs, PATH).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 1, 1, 1]
+    places = sorted((r.offset, r.length) for r in got)
+    assert [o for o, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist() and len({r.sequence_id for r in got}) == 1

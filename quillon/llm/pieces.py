@@ -6,7 +6,9 @@ is cut before each run of the space symbol, which no piece of the vocabulary cro
 piece score. Every piece is then projected through the alignment to the span of source bytes it covers.
 
 Results are those of the sentencepiece library for BPE models without user-defined pieces; other models are refused.
-Null text counts as empty: no ids, empty decoded text. Any other column of the input is ignored by `encode`.
+Null text counts as empty: no ids, empty decoded text. Every row is encoded alone, so repeated rows and ties give
+repeated results, null ids stay null, an empty table gives an empty one, and other columns are ignored whatever their
+names. Of scores that are equal the leftmost pair is merged first, as in the library. Long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import only, short_batches
+from quillon.llm.common import only, short
 
 SPACE = "▁"
 #: A run of spaces with what follows it.
@@ -350,11 +352,9 @@ def encode(docs: DataFrame, model_path: str, *, id_column: str = "doc_id", text_
 
     Needs the model file at the same path on every executor. A narrow transformation, without shuffle.
     """
-    short_batches(docs.sparkSession)
-
     def run(batches):
         coder = encoder_from(model_path)
-        for b in batches:
+        for b in short(batches):
             ids, begins, ends, decoded = [], [], [], []
             for text in b.column(1).to_pylist():
                 i, s, e, _ = coder.encode(text or "")
@@ -376,11 +376,9 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     spans_crc32 covers the little-endian begins and ends of all pieces.
     """
-    short_batches(docs.sparkSession)
-
     def run(batches):
         coder = encoder_from(model_path)
-        for b in batches:
+        for b in short(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 ids, begins, ends, decimals = coder.encode(text or "")

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import pytest
+
 from quillon.llm.warc import assemble, parse, read_records, round_trip, write_archives
 
 SCHEMA = "page_id long, url string, html string, record_type string, digest int"
@@ -37,12 +39,47 @@ def test_round_trip(spark):
     assert len(got) == len(rows) and all(r.digest_holds is not False for r in got)
     assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == expected(rows)
     assert round_trip(frame(spark, [])).count() == 0
-    assert round_trip(frame(spark, [rows[0], rows[0]])).count() == 1  # a row repeated whole is one capture
+
+
+def test_every_row_comes_back(spark, monkeypatch):
+    """Rows repeated whole, and rows without page_id, are captures of their own."""
+    long = "<p>é payload</p>" * 10
+    rows = [(1, "u", long), (1, "u", long), (None, "u", "x"), (None, "u", "x"), (2, "v", long)]
+    got = round_trip(frame(spark, rows)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got) == [(0, "response", None)] * 2 + [(1, "response", None)] * 2 + [(2, "revisit", 1)]
+    monkeypatch.setattr("quillon.llm.warc.COPIES", 7)
+    many = [(1, "u", long)] * 40 + [(2, "u", long)] * 23 + [(None, None, None)] * 15 + [(3, "w", "once")]
+    path = write_archives(frame(spark, many))
+    records = read_records(spark, path)
+    assert records.select("record_id").distinct().count() == records.count() == 3 * len(many)
+    got = round_trip(frame(spark, many)).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert {(r.page_id, r.record_type, r.refers_to): r["count"] for r in got} == {(1, "response", None): 40, (2, "revisit", 1): 23, (None, "response", None): 15, (3, "response", None): 1}
+
+
+def test_very_long_payloads(spark, monkeypatch):
+    monkeypatch.setattr("quillon.llm.warc.FILE", 5_000_000)
+    rows = [(i, f"http://a/{i}", f"{i} " * 700_000) for i in range(5)] + [(9, "s", "small")]
+    path = write_archives(frame(spark, rows))
+    files = list(Path(path.removeprefix("file:")).rglob("*.gz"))
+    assert max(sum(h["warc-type"] == "response" for h, _ in parse(f.read_bytes())) for f in files if f.parent.name == "large") <= 3
+    got = {r.page_id: r for r in round_trip(frame(spark, rows)).collect()}
+    for i, _, html in rows:
+        assert got[i].payload_bytes == len(html) and got[i].payload_digest == hashlib.sha256(html.encode()).hexdigest()
+
+
+def test_parse_of_members_and_broken_files():
+    one = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for data in (one * 3, gzip.compress(one * 3), gzip.compress(one) * 3):
+        assert [b for _, b in parse(data)] == [b"abc"] * 3
+    for data in (b"HTTP/1.1\r\n\r\n", one[:-3], gzip.compress(one[:-9])):
+        with pytest.raises(ValueError):
+            list(parse(data))
+    assert list(parse(b"")) == []
 
 
 def test_archives_are_warc(spark):
     path = write_archives(frame(spark, [(1, "http://a/1", "héllo"), (2, "http://a/2", "z" * 200)]))
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in Path(path.removeprefix("file:")).glob("*.gz"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in Path(path.removeprefix("file:")).rglob("*.gz"))
     records = list(parse(data))
     assert sorted(h["warc-type"] for h, _ in records) == ["metadata"] * 2 + ["request"] * 2 + ["response"] * 2
     ids = {h["warc-record-id"] for h, _ in records}

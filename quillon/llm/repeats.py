@@ -13,12 +13,16 @@ have equal anchors. An anchor's context is the text around it that windows throu
    the left, gives the maximal repeat groups with all their occurrences, and all but the first one are covered.
 4. Blocks cut what is covered.
 
-An anchor with very many contexts (a line that millions of documents hold, each in other words) isn't gathered: each
-block reduces its contexts to distinct windows, which are dealt by their own digest. Equal contexts and windows are
-reduced in each block before anything is shuffled, so no bucket gets more than a bounded number of rows a block.
+An anchor with very many contexts (a line that millions of documents hold, each in other words) isn't gathered. A block
+that has many of its contexts sends their number only. Where the numbers add up to too many, each block reduces its
+contexts to distinct windows, and the first place of each window is found by an aggregate that combines before the
+shuffle. Equal contexts and windows are reduced in each block before anything is shuffled. So one anchor puts at most
+MANY_HERE rows of 41 bytes a block into one task.
 
+Contexts of different blocks count as equal by 128-bit digests, contexts and windows of one block by 64 bits.
 Null text is empty. Rows without doc_id come last in the order; rows that repeat a doc_id are ordered by block and
-place, which are fixed once the blocks are written.
+place, which are fixed once the blocks are written. Repeated rows are documents of their own, so all but the first
+lose their passages. Texts of any length are worked on whole, a piece at a time.
 """
 
 from __future__ import annotations
@@ -32,50 +36,53 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, materialize, mix64, partitions, short_batches, utf8
+from quillon.llm.common import discard, materialize, mix64, partitions, short, utf8
 from quillon.llm.suffix import merge, repeated
 
 GRAM = 32
 #: Bytes of a block (compressed, it stays under what the JVM holds apart as huge), of a piece of it that is worked on at
 #: once, and anchors of a bucket on average.
 BLOCK, PIECE, BUCKET = 1 << 20, 1 << 17, 250_000
-#: Contexts of one anchor that a block sends, and that a bucket compares, before they are dealt as windows.
-MANY_HERE, MANY = 1024, 16_384
+#: Rows of a block, and bytes of their other columns.
+BLOCK_ROWS, BLOCK_CARRIED = 8192, 1 << 23
+#: Contexts of one anchor that a block sends, and contexts of it that are compared, before they are dealt as windows.
+MANY_HERE, MANY = 64, 16_384
 #: Contexts in one suffix array, if they do not share an anchor.
 ARRAY = 6_000
 
 _T = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-_U = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
-_UP, _DOWN = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+#: Letters and bases of two independent digests.
+_LETTERS = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(1 << bits, _UP), np.full(1 << bits, _DOWN)
+@lru_cache(maxsize=4)
+def _powers(bits: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(1 << bits, np.uint64(_BASES[which])), np.full(1 << bits, np.uint64(pow(_BASES[which], -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 class Digests:
-    """64-bit digests of any substrings of a buffer."""
+    """64-bit digests of any substrings of a buffer, of one of two kinds."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(max(16, len(data).bit_length()))
+    def __init__(self, data: np.ndarray, which: int = 0):
+        up, self.down = _powers(max(16, len(data).bit_length()), which)
         self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_U[data] * up[: len(data)], out=self.total[1:])
+        np.cumsum(_LETTERS[which][data] * up[: len(data)], out=self.total[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.total[end] - self.total[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
-def _window_digests(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+def _window_digests(data: np.ndarray, start: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """Digests of windows at ascending starts, a piece of the buffer at a time."""
     out = np.zeros(len(start), np.uint64)
     for low in range(0, len(data) if len(start) else 0, PIECE):
         a, b = np.searchsorted(start, [low, low + PIECE])
         if a < b:
             at = start[a:b] - low
-            out[a:b] = Digests(data[low : low + PIECE + size]).of(at, at + size)
+            out[a:b] = Digests(data[low : low + PIECE + size], which).of(at, at + size)
     return out
 
 
@@ -133,19 +140,21 @@ class Anchors:
             at = at[(at >= core - low) & (at < stop - low)]
             row = np.searchsorted(bounds, at, side="right") - 1
             begin, end = np.maximum(at - reach, bounds[row]), np.minimum(at + least, bounds[row + 1])
-            context = mix64(Digests(piece).of(begin, end) + (at - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-            parts.append((gram[at], context, row + first, begin + low, end + low, at - begin))
-        empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
-        self.gram, self.context, self.row, self.begin, self.end, self.left = (np.concatenate(x) for x in zip(*(parts or [empty]), strict=True))
+            places = (at - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            contexts = [mix64(Digests(piece, which).of(begin, end) + places) for which in (0, 1)]
+            parts.append((gram[at], *contexts, row + first, begin + low, end + low, at - begin))
+        empty = (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 4
+        self.gram, self.context, self.check, self.row, self.begin, self.end, self.left = (np.concatenate(x) for x in zip(*(parts or [empty]), strict=True))
         # the first of equal contexts in this block; the others repeat it
         self.first = _firsts(self.context)
         kept = np.flatnonzero(self.first)
-        grams, inverse, count = np.unique(self.gram[kept], return_inverse=True, return_counts=True)
-        crowded = count[inverse] > MANY_HERE
-        self.crowded = kept[crowded]
-        one_each = self.crowded[_firsts(self.gram[self.crowded])]
-        self.sent = np.concatenate([kept[~crowded], one_each])
-        self.hot = np.concatenate([np.zeros(len(kept) - len(self.crowded), np.uint8), np.ones(len(one_each), np.uint8)])
+        _, inverse, count = np.unique(self.gram[kept], return_inverse=True, return_counts=True)
+        many = count[inverse] > MANY_HERE
+        # of anchors with many contexts, which are held back, one row goes with their number
+        self.held = kept[many]
+        new = _firsts(self.gram[self.held])
+        self.sent = np.concatenate([kept[~many], self.held[new]])
+        self.number = np.concatenate([np.zeros(int((~many).sum()), np.int32), count[inverse][many][new].astype(np.int32)])
 
 
 def _firsts(keys: np.ndarray) -> np.ndarray:
@@ -181,7 +190,6 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def blocks(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     """block, ids (doc_id of each row, null last), sizes, n_bytes, data (all texts, compressed), carried (other columns)."""
-    short_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(F.lit(0).alias("_always"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
     schema = f"block bigint, ids array<bigint>, sizes array<bigint>, n_bytes bigint, data binary, carried array<{given.schema['carried'].dataType.simpleString()}>"
 
@@ -192,7 +200,7 @@ def blocks(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
         ids: list = []
         texts: list[bytes] = []
         carried: list[pa.Array] = []
-        held = 0
+        held, beside = 0, 0.0
 
         def out():
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
@@ -205,18 +213,20 @@ def blocks(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "n_bytes", "data", "carried"])
 
-        for b in batches:
+        for b in short(batches):
             data, offsets = utf8(b.column(1))
             raw, docs_here, since = data.tobytes(), b.column(0).to_pylist(), 0
+            each = b.column(2).nbytes / max(1, b.num_rows)
             for i, doc in enumerate(docs_here):
                 ids.append(doc)
                 texts.append(raw[offsets[i] : offsets[i + 1]])
                 held += len(texts[-1])
-                if held >= BLOCK:
+                beside += each
+                if held >= BLOCK or len(ids) >= BLOCK_ROWS or beside >= BLOCK_CARRIED:
                     carried.append(b.column(2).slice(since, i + 1 - since))
                     yield out()
                     number, since = number + 1, i + 1
-                    ids, texts, carried, held = [], [], [], 0
+                    ids, texts, carried, held, beside = [], [], [], 0, 0.0
             if since < len(docs_here):
                 carried.append(b.column(2).slice(since))
         if ids:
@@ -248,7 +258,7 @@ def _send(batches, least: int, buckets: int):
         out = {"bucket": [], "block": [], "n": [], "data": []}
         for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
             s = a.sent[part]
-            for k, v in (("bucket", int(to[part[0]])), ("block", row["block"]), ("n", len(s)), ("data", _squeeze(a.gram[s], a.context[s], ids[a.row[s]], a.row[s].astype("<i4"), a.begin[s].astype("<i4"), a.hot[part]))):
+            for k, v in (("bucket", int(to[part[0]])), ("block", row["block"]), ("n", len(s)), ("data", _squeeze(a.gram[s], a.context[s], a.check[s], ids[a.row[s]], a.row[s].astype("<i4"), a.begin[s].astype("<i4"), a.number[part]))):
                 out[k].append(v)
         yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
@@ -260,38 +270,48 @@ ALONE, REPEAT, DIFFERS, CROWDED = 0, 1, 2, 3
 def _judge(group: pa.Table) -> pa.Table:
     """A bucket's verdicts, for each block in the order it sent its anchors."""
     blocks, sizes = group["block"].to_numpy(), group["n"].to_numpy()
-    gram, context, doc, row, begin, hot = (np.concatenate(x) for x in zip(*(_unsqueeze(d.as_py(), n, "<u8", "<u8", "<i8", "<i4", "<i4", "u1") for d, n in zip(group["data"], sizes, strict=True)), strict=True))
+    kinds = ("<u8", "<u8", "<u8", "<i8", "<i4", "<i4", "<i4")
+    gram, context, check, doc, row, begin, number = (np.concatenate(x) for x in zip(*(_unsqueeze(d.as_py(), n, *kinds) for d, n in zip(group["data"], sizes, strict=True)), strict=True))
     block = np.repeat(blocks, sizes)
-    order = np.lexsort([begin, row, block, doc, context])
-    order = order[np.argsort(hot[order], kind="stable")]  # the others first: a crowded anchor's one row is no context
     verdict = np.full(len(gram), REPEAT, np.uint8)
-    firsts = order[_firsts(context[order])]
-    firsts = firsts[hot[firsts] == 0]
+    plain = np.flatnonzero(number == 0)  # a row with a number is no context
+    order = plain[np.lexsort([begin[plain], row[plain], block[plain], doc[plain], check[plain], context[plain]])]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[order[1:]] != context[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    firsts = order[new]
     _, inverse = np.unique(gram, return_inverse=True)
-    count = np.bincount(inverse[firsts], minlength=int(inverse.max(initial=0)) + 1)
-    crowded = count > MANY
-    crowded[inverse[hot == 1]] = True
-    verdict[firsts] = np.where(crowded[inverse[firsts]], CROWDED, np.where(count[inverse[firsts]] > 1, DIFFERS, ALONE))
-    verdict[hot == 1] = CROWDED
+    size = int(inverse.max(initial=0)) + 1
+    count = np.bincount(inverse[firsts], minlength=size) + np.bincount(inverse, number, size).astype(np.int64)
+    # contexts that a block has held back are compared with all others, or dealt as windows with them
+    said = np.where(count > MANY, CROWDED, np.where(count > 1, DIFFERS, ALONE)).astype(np.uint8)
+    verdict[firsts] = said[inverse[firsts]]
+    verdict[number > 0] = said[inverse[number > 0]]
     cuts = np.split(verdict, np.cumsum(sizes)[:-1])
     return pa.table({"block": pa.array(blocks), "bucket": group["bucket"], "data": pa.array([_squeeze(v) for v in cuts], pa.binary())})
 
 
+ANSWER = "kind int, key bigint, block bigint, n bigint, data binary, a bigint, b bigint, doc bigint, row int, begin int"
+
+
 def _answer(batches, least: int, buckets: int, spread: int):
-    """Each block, with its verdicts: what is covered already, and the contexts to compare (kind 0 and 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+    """Each block, with its verdicts: what is covered already (kind 0), contexts to compare (1), and windows (2)."""
+    head = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+    tail = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc", pa.int64()), ("row", pa.int32()), ("begin", pa.int32())])
+    schema = pa.schema([*head, *tail])
     for r in _rows(batches):
         data, offsets, ids = _open(r)
         a = Anchors(data, offsets, least)
         to = _bucket(a.gram[a.sent], buckets)
+        by_bucket = np.argsort(to, kind="stable")
         said = np.zeros(len(a.sent), np.uint8)
         for v in r["said"] or []:
-            at = np.flatnonzero(to == v["bucket"])
-            said[at] = _unsqueeze(v["data"], len(at), "u1")[0]
+            low, high = np.searchsorted(to[by_bucket], [v["bucket"], v["bucket"] + 1])
+            said[by_bucket[low:high]] = _unsqueeze(v["data"], high - low, "u1")[0]
         covered = [np.flatnonzero(~a.first), a.sent[said == REPEAT]]
-        differing = a.sent[said == DIFFERS]
-        # an anchor may be crowded here, or only in its bucket
-        crowded = np.concatenate([a.crowded, a.sent[(said == CROWDED) & (a.hot == 0)]])
+        own = a.number == 0
+        dealt = np.isin(a.gram[a.held], a.gram[a.sent[(said == CROWDED) & ~own]])  # the others held back are compared
+        differing = np.concatenate([a.sent[(said == DIFFERS) & own], a.held[~dealt]])
+        crowded = np.concatenate([a.held[dealt], a.sent[(said == CROWDED) & own]])
         spans = [(a.row[c], a.begin[c], a.end[c]) for c in covered]
         size = a.end[crowded] - a.begin[crowded] - least + 1
         start, row = _ranges(a.begin[crowded], size), np.repeat(a.row[crowded], size)
@@ -302,27 +322,32 @@ def _answer(batches, least: int, buckets: int, spread: int):
         digest = _window_digests(data, start, least)
         new = _firsts(digest)
         spans.append((row[~new], start[~new], start[~new] + least))
-        key = np.concatenate([a.gram[differing], digest[new]])
-        row = np.concatenate([a.row[differing], row[new]])
-        begin = np.concatenate([a.begin[differing], start[new]])
-        length = np.concatenate([a.end[differing] - a.begin[differing], np.full(int(new.sum()), least)])
-        left = np.concatenate([a.left[differing], np.zeros(int(new.sum()), np.int64)])
         out = {"kind": [], "key": [], "block": [], "n": [], "data": []}
 
         def add(kind, k, n, blob, out=out, block=r["block"]):
             for c, v in zip(out.values(), (kind, k, block, n, blob), strict=True):
                 c.append(v)
 
-        if len(key):
+        if len(differing):
+            key, row_of, begin = a.gram[differing], a.row[differing], a.begin[differing]
+            length, left = a.end[differing] - begin, a.left[differing]
             to = _bucket(key, spread)
             order = np.argsort(to, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                 text = data[_ranges(begin[part], length[part])]
-                add(1, int(to[part[0]]), len(part), _squeeze(key[part], ids[row[part]], row[part].astype("<i4"), begin[part].astype("<i4"), left[part].astype("<i4"), length[part].astype("<i4"), text))
-        row, begin, end = merge(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-        if len(row):
-            add(0, 0, len(row), _squeeze(row.astype("<i4"), begin.astype("<i4"), end.astype("<i4")))
-        yield pa.RecordBatch.from_pydict(out, schema)
+                add(1, int(to[part[0]]), len(part), _squeeze(key[part], ids[row_of[part]], row_of[part].astype("<i4"), begin[part].astype("<i4"), left[part].astype("<i4"), length[part].astype("<i4"), text))
+        merged = merge(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+        if len(merged[0]):
+            add(0, 0, len(merged[0]), _squeeze(*(x.astype("<i4") for x in merged)))
+        n = len(out["kind"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(out[f.name], f.type) for f in head), *(pa.nulls(n, f.type) for f in tail)], schema=schema)
+        start, row = start[new], row[new]
+        other = _window_digests(data, start, least, 1)
+        for low in range(0, len(start), 1 << 14):
+            s = slice(low, low + (1 << 14))
+            n = len(start[s])
+            places = [pa.array(digest[new][s].view(np.int64)), pa.array(other[s].view(np.int64)), pa.array(ids[row[s]]), pa.array(row[s].astype(np.int32)), pa.array(start[s].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.array(np.full(n, r["block"], np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *places], schema=schema)
 
 
 def _compare(group: pa.Table, least: int) -> pa.Table:
@@ -362,16 +387,19 @@ def _compare(group: pa.Table, least: int) -> pa.Table:
     return pa.table(out, pa.schema([("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
 
-def covered(docs: DataFrame, *, least: int = 100, carry: list[str] = ()) -> tuple[DataFrame, str]:
-    """Blocks of all documents with their covered spans: the columns of `blocks`, and spans array<struct<n,data>>.
+def _later(windows: DataFrame) -> DataFrame:
+    """block, starts: the windows that start earlier elsewhere. Only sums and the windows of a block are gathered."""
+    place = F.struct("doc", "block", "row", "begin")
+    first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return windows.join(first, ["a", "b"]).where(place > F.col("first")).groupBy("block").agg(F.collect_list("begin").alias("starts"))
 
-    Also the path of the written blocks.
-    """
+
+def covered(docs: DataFrame, *, least: int = 100, carry: list[str] = ()) -> DataFrame:
+    """Blocks of all documents with what is covered: the columns of `blocks`, spans array<struct<n,data>>, starts."""
     if least < 2 * GRAM:
         raise ValueError(f"passages of at least {2 * GRAM} bytes only")
     spark = docs.sparkSession
-    put, put_at = materialize(spark, blocks(docs, carry), "blocks")
-    short_batches(spark, 4)
+    put, _ = materialize(spark, blocks(docs, carry), "blocks")
     total = put.agg(F.sum("n_bytes")).first()[0] or 0
     # anchors are about 2 / (windows' grams + 1) of all bytes
     buckets = max(partitions(spark), int(total * 2 / (least - GRAM + 2) / BUCKET) + 1)
@@ -380,12 +408,14 @@ def covered(docs: DataFrame, *, least: int = 100, carry: list[str] = ()) -> tupl
     verdicts, verdicts_at = materialize(spark, sent.groupBy("bucket").applyInArrow(_judge, "block bigint, bucket bigint, data binary"), "verdicts")
     said = verdicts.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("said"))
     answers = put.join(said, "block", "left").select("block", "ids", "sizes", "n_bytes", "data", "said")
-    answered, _ = materialize(spark, answers.mapInArrow(lambda b: _answer(b, least, buckets, spread), "kind int, key bigint, block bigint, n bigint, data binary"), "contexts")
-    discard(spark, verdicts_at)
+    answered, answered_at = materialize(spark, answers.mapInArrow(lambda b: _answer(b, least, buckets, spread), ANSWER), "contexts")
     compared = answered.where("kind = 1").select("key", "block", "n", "data").groupBy("key").applyInArrow(lambda g: _compare(g, least), "block bigint, n bigint, data binary")
     spans = answered.where("kind = 0").select("block", "n", "data").union(compared)
-    by_block = spans.groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("spans"))
-    return put.join(by_block, "block", "left").select(*put.columns, "spans"), put_at
+    found = spans.groupBy("block").agg(F.collect_list(F.struct("n", "data")).alias("spans"))
+    later = _later(answered.where("kind = 2").select("block", "a", "b", "doc", "row", "begin"))
+    by_block, _ = materialize(spark, found.join(later, "block", "full"), "spans")
+    discard(spark, verdicts_at, answered_at)
+    return put.join(by_block, "block", "left").select(*put.columns, F.lit(least).alias("least"), "spans", "starts")
 
 
 def _cut(batches):
@@ -394,8 +424,10 @@ def _cut(batches):
         data, offsets, _ = _open(r)
         spans = [_unsqueeze(s["data"], s["n"], "<i4", "<i4", "<i4") for s in r["spans"] or []]
         change = np.zeros(len(data) + 1, np.int64)
-        if spans:
-            _, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+        if r["starts"]:
+            starts = np.array(r["starts"], np.int64)
+            spans.append((starts, starts, starts + r["least"]))
+        for _, begin, end in spans:
             change += np.bincount(begin, minlength=len(change)) - np.bincount(end, minlength=len(change))
         gone = np.cumsum(change[:-1]) > 0
         rises = gone.copy()
@@ -427,7 +459,7 @@ def removal_digests(docs: DataFrame, *, least: int = 100) -> DataFrame:
         for rows in _batched(_cut(batches), make):
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return covered(docs, least=least)[0].mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return covered(docs, least=least).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, least: int = 100, carry: list[str] = ()) -> DataFrame:
@@ -435,7 +467,7 @@ def without_repeats(docs: DataFrame, *, least: int = 100, carry: list[str] = ())
 
     Characters cut in half go whole.
     """
-    tables, _ = covered(docs, least=least, carry=carry)
+    tables = covered(docs, least=least, carry=carry)
     struct = tables.schema["carried"].dataType.elementType.simpleString()
 
     def run(batches):

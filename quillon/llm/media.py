@@ -1,12 +1,14 @@
 """Interleaved document sequences with media columns.
 
 HTML is parsed into an ordered array of structs, text runs and media references alternating as they stand in the
-page; figure captions stay with their reference. References name payloads by digest. A join on the digest resolves
-them; the element's position and caption travel with it, so the sequence comes back aligned.
+page; a figure's caption stays with the figure's references, whether it stands before or after them. References name
+payloads by digest. A join on the digest resolves them; the element's position and caption travel with it, so the
+sequence comes back aligned.
 
 Payloads are stored as 8-bit greyscale PNG images, 192 samples a row, and read back from the stored bytes.
 Null html is a sequence without elements; a reference without payload resolves to null. Equal payloads are one
-payload, whichever documents hold them.
+payload, whichever documents hold them. Every row is a page of its own with a number, so rows that repeat an id, or have
+none, come back each for itself, and nothing depends on ties. Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, materialize, short_batches
+from quillon.llm.common import discard, materialize, short
 
 WIDTH = 192
 ELEMENT = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
@@ -30,14 +32,20 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 class _Sequence(HTMLParser):
-    """Collects elements; script and style are no text."""
+    """Collects elements; script and style are no text.
+
+    A figcaption belongs to the media of the figure it stands in, the innermost one; their alt texts give way to it.
+    Outside a figure it is text. A caption that isn't closed ends with its figure or the page. The sources of a video,
+    audio or picture are ways to get that one medium: the first one with a digest names it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[list] = []
         self.run: list[str] = []
         self.caption: list[str] | None = None
-        self.figure: int | None = None
+        self.figures: list[dict] = []  # the open figures: caption and the places of their media
+        self.medium: tuple[str, int] | None = None  # the open video, audio or picture and its place
         self.skipped = 0
 
     def flush(self) -> None:
@@ -46,46 +54,69 @@ class _Sequence(HTMLParser):
         if text:
             self.elements.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            self.figures[-1]["caption"] = text
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        figure = self.figures.pop()
+        for at in figure["media"] if figure["caption"] is not None else ():
+            self.elements[at][3] = figure["caption"]
+
     def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        digest = next((v.removeprefix("sha256:") for v in (named.get("src"), named.get("data-digest")) if v and v.startswith("sha256:")), None)
         if tag in ("script", "style"):
             self.skipped += 1
         elif tag == "figure":
             self.flush()
-            self.figure = len(self.elements)
-        elif tag == "figcaption":
+            self.end_caption()
+            self.figures.append({"caption": None, "media": []})
+        elif tag == "figcaption" and self.figures:
+            self.flush()
             self.caption = []
-        elif tag in ("img", "video", "audio", "source"):
+        elif self.medium and (tag == "source" or (tag == "img" and self.medium[0] == "picture")):
+            element = self.elements[self.medium[1]]
+            element[2], element[3] = element[2] or digest, element[3] or named.get("alt")
+        elif tag in ("img", "video", "audio", "picture"):
             self.flush()
-            named = dict(attrs)
-            digest = next((v.removeprefix("sha256:") for v in (named.get("src"), named.get("data-digest")) if v and v.startswith("sha256:")), None)
+            if self.figures:
+                self.figures[-1]["media"].append(len(self.elements))
+            if tag != "img":
+                self.medium = (tag, len(self.elements))
             self.elements.append(["media", None, digest, named.get("alt")])
-        elif tag in ("p", "div", "br", "h1", "h2", "h3", "h4", "li", "tr", "section", "article"):
+        elif tag in ("p", "div", "br", "h1", "h2", "h3", "h4", "li", "tr", "section", "article", "figcaption"):
             self.run.append("\n")
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.skipped = max(0, self.skipped - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for e in self.elements[self.figure or 0 :]:
-                if e[0] == "media":
-                    e[3] = text
-        elif tag == "figure":
+        elif self.medium and tag == self.medium[0]:
+            self.medium = None
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
             self.flush()
-            self.figure = None
+            self.end_figure()
 
     def handle_data(self, data):
         if not self.skipped:
             (self.run if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+
 
 def parse(html: str | None) -> list[dict]:
     """The ordered elements of a page."""
     p = _Sequence()
     p.feed(html or "")
-    p.close()
-    p.flush()
+    p.finish()
     return [{"pos": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(p.elements)]
 
 
@@ -137,37 +168,57 @@ def features(samples: np.ndarray) -> str:
     return f"n={x.size};sum={x.sum()};sq={(x * x).sum()};edges={np.count_nonzero(np.diff(x, axis=1))};hist={','.join(map(str, bins))}"
 
 
+def _page(text: str, digest: str, ending: str, n: int) -> str:
+    """A page that shows a text: its first words, a figure of the whole, and its last row between its last words.
+
+    The caption stands before or after the image by turns of the length.
+    """
+    words = text[:200].split()[:8]
+    last = text[-200:].split()[-4:]
+    image, caption = f'<img src="sha256:{digest}" alt="text">', f"<figcaption>{n} bytes</figcaption>"
+    figure = caption + image if n % 2 else image + caption
+    return f'<article><h1>{escape(" ".join(words))}</h1><figure>{figure}</figure><p>{escape(" ".join(last[:2]))} <img src="sha256:{ending}" alt="end"> {escape(" ".join(last[2:]))}</p></article>'
+
+
 def compose(docs: DataFrame) -> DataFrame:
-    """A page with one figure per document, and the stored image: doc_id, html, digest, media.
+    """A page for each document, with two references: page (its number), doc_id, html, stored array<struct<digest,media>>.
 
-    In one Arrow batch, equal payloads are stored once (media is null on the others).
+    The media are the padded text and its last row, which texts that end alike share. In one batch, equal payloads are
+    stored once.
     """
-    short_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            htmls, digests, stored, seen = [], [], [], set()
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("digest", pa.string()), ("media", pa.binary())]))]
+        for b in short(batches):
+            htmls, stored, seen = [], [], set()
             for text in b.column(1).to_pylist():
                 payload, n = padded(text)
-                digest = hashlib.sha256(payload).hexdigest()
-                title = escape(" ".join((text or "").split(None, 8)[:8]))
-                htmls.append(f'<article><p>{title}</p><figure><img src="sha256:{digest}" alt="text"><figcaption>{n} bytes</figcaption></figure></article>')
-                digests.append(digest)
-                stored.append(None if digest in seen else to_png(payload))
-                seen.add(digest)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(htmls, pa.string()), pa.array(digests, pa.string()), pa.array(stored, pa.binary())], names=["doc_id", "html", "digest", "media"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, html string, digest string, media binary")
+                new, digests = [], []
+                for part in (payload, payload[-WIDTH:]):
+                    digests.append(hashlib.sha256(part).hexdigest())
+                    if digests[-1] not in seen:
+                        new.append({"digest": digests[-1], "media": to_png(part)})
+                        seen.add(digests[-1])
+                htmls.append(_page(text or "", *digests, n))
+                stored.append(new)
+            pages = np.arange(number, number + b.num_rows)
+            number += b.num_rows
+            columns = [pages, b.column(0), htmls, stored]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "doc_id", "html", "stored"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "page bigint, doc_id bigint, html string, stored array<struct<digest:string,media:binary>>")
 
 
 def sequences(pages: DataFrame, *, id_column: str = "doc_id", html_column: str = "html") -> DataFrame:
     """id and elements of every page."""
-    short_batches(pages.sparkSession)
     kind = pages.schema[id_column].dataType.simpleString()
     element = pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "digest", "caption"))])
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(h) for h in b.column(1).to_pylist()], pa.list_(element))], names=[id_column, "elements"])
 
     return pages.select(f"`{id_column}`", f"`{html_column}`").mapInArrow(run, f"`{id_column}` {kind}, elements {ELEMENT}")
@@ -175,10 +226,9 @@ def sequences(pages: DataFrame, *, id_column: str = "doc_id", html_column: str =
 
 def read_media(stored: DataFrame) -> DataFrame:
     """What the stored images hold, by the digest they are stored under: one row per digest."""
-    short_batches(stored.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             out = []
             for digest, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 samples = from_png(media)
@@ -203,28 +253,25 @@ def resolved(elements: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def interleave(elements: DataFrame, media: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Sequences with the resolved payload row in each media element, in page order."""
-    with_keys = resolved(elements, media).select(id_column, "pos", F.struct(*media.columns).alias("media"))
-    by_id = with_keys.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("pos", "media"))).alias("found"))
-    joined = elements.alias("e").join(by_id.alias("m"), elements[id_column].eqNullSafe(by_id[id_column]), "left")
-    return joined.select(F.col(f"e.{id_column}"), F.transform("elements", lambda x: x.withField("media", F.try_element_at(F.col("found"), x["pos"]))).alias("elements"))
+    """Sequences with the resolved payload row in each media element, in page order. Ids must be unique and not null."""
+    parts = elements.select(F.col(id_column), F.explode_outer("elements").alias("e"))
+    flat = parts.join(media, F.col("e.digest") == media["digest"], "left")
+    found = F.when(F.col("digest").isNotNull(), F.struct(*[F.col(c) for c in media.columns]))
+    rebuilt = F.struct(F.col("e.pos").alias("pos"), *[F.col(f"e.{c}").alias(c) for c in ("kind", "text", "digest", "caption")], found.alias("media"))
+    by_id = flat.groupBy(id_column).agg(F.array_sort(F.collect_list(F.when(F.col("e").isNotNull(), rebuilt)), lambda a, b: a["pos"] - b["pos"]).alias("elements"))
+    return by_id.select(id_column, "elements")
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
-    """Compose, store, read back, and resolve each document's figure."""
+    """Compose, store, read back, and resolve each page's references; the first one is the whole text's."""
     spark = docs.sparkSession
     stored, path = materialize(spark, compose(docs), "media")
-    media, _ = materialize(spark, read_media(stored), "media-read")
-    refs, _ = materialize(spark, sequences(stored.select("doc_id", "html")), "sequences")
-    discard(spark, path)
-    return resolved(refs, media).select(
-        "doc_id",
-        F.regexp_extract("caption", "^(\\d+) bytes$", 1).cast("bigint").alias("n_bytes"),
-        "payload_bytes",
-        "payload_sha256",
-        "tail_crc32",
-        "media_bytes",
-        "media_sha256",
-        "feature",
-        "pos",
-    )
+    media, media_at = materialize(spark, read_media(stored.select(F.inline("stored"))), "media-read")
+    refs, refs_at = materialize(spark, sequences(stored.select("page", "html"), id_column="page"), "sequences")
+    whole = interleave(refs, media, "page")
+    figure = F.filter("elements", lambda e: e["kind"] == "media")
+    shown = whole.select("page", F.get(figure, F.lit(0)).alias("e"), F.get(figure, F.lit(1)).alias("last"))
+    flat = shown.select("page", F.regexp_extract("e.caption", "^(\\d+) bytes$", 1).cast("bigint").alias("n_bytes"), *[F.col(f"e.media.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")], F.col("e.pos").alias("pos"), F.col("last.media.payload_sha256").alias("ending_sha256"))
+    out, _ = materialize(spark, stored.select("page", "doc_id").join(flat, "page").drop("page"), "media-rows")
+    discard(spark, path, media_at, refs_at)
+    return out

@@ -3,7 +3,7 @@
 import hashlib
 import zlib
 
-from quillon.llm.media import from_png, interleave, padded, parse, sequences, store_and_read, to_png
+from quillon.llm.media import compose, from_png, interleave, padded, parse, sequences, store_and_read, to_png
 
 TEXTS = ["", None, "a", "é" * 96, "x" * 192, "x" * 193, "line\n" * 5000, "same", "same", "\0\0", "tail   ", "<b>&amp;</b>"]
 
@@ -23,6 +23,47 @@ def test_parse_keeps_order_and_captions():
     assert parse(None) == parse("") == [] and parse("<img") is not None
 
 
+def test_captions_stay_with_their_figures():
+    def media(html):
+        return [(e["digest"], e["caption"]) for e in parse(html) if e["kind"] == "media"]
+
+    assert media("<figure><figcaption>before</figcaption><img src='sha256:a' alt=x></figure>") == [("a", "before")]
+    assert media("<img src='sha256:a' alt=x><figcaption>alone</figcaption><img src='sha256:b'>") == [("a", "x"), ("b", None)]
+    assert media("<figure><img src='sha256:a'><figure><img src='sha256:b'><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [("a", "out"), ("b", "in")]
+    assert media("<figure><img src='sha256:a'><figcaption>open <b>end") == [("a", "open end")]
+    assert media("<figure><img src='sha256:a'><img src='sha256:b'><figcaption>both</figcaption></figure><img src='sha256:c' alt=own>") == [("a", "both"), ("b", "both"), ("c", "own")]
+    assert media("<video><source src='sha256:v'><source src='sha256:w'></video><picture><source><img src='sha256:p' alt=q></picture>") == [("v", None), ("p", "q")]
+    assert [e["text"] for e in parse("<img src='sha256:a'><figcaption>alone</figcaption>") if e["kind"] == "text"] == ["alone"]
+    assert [(e["kind"], e["text"]) for e in parse("one<figure>two<img src='sha256:a'>three<figcaption>cap</figcaption>four</figure>five")] == [("text", "one"), ("text", "two"), ("media", None), ("text", "three"), ("text", "four"), ("text", "five")]
+
+
+def test_images_by_an_independent_decoder(spark):
+    jvm = spark._jvm
+    for t in TEXTS:
+        payload, _ = padded(t)
+        image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(to_png(payload))))
+        assert (image.getWidth(), image.getHeight()) == (192, len(payload) // 192)
+        data = image.getRaster().getDataBuffer()
+        at = range(0, len(payload), max(1, len(payload) // 400))
+        assert data.getSize() == len(payload) and [data.getElem(i) for i in at] == [payload[i] for i in at]
+
+
+def test_pages_have_several_references(spark):
+    rows = [(1, "start of one " * 40 + "the same end " * 30), (1, "start of one " * 40 + "the same end " * 30), (None, "short"), (None, None), (2, "start of two " * 40 + "the same end " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pages = compose(docs)
+    kinds = [[e["kind"] for e in parse(r.html)] for r in pages.collect()]
+    assert kinds[0] == ["text", "media", "text", "media", "text"] and kinds[3] == ["media", "media"]
+    captions = [[e["caption"] for e in parse(r.html) if e["kind"] == "media"] for r in pages.collect()]
+    assert captions == [[f"{len((t or '').encode())} bytes", "end"] for _, t in rows]
+    got = store_and_read(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == sorted((i or 0, len((t or "").encode())) for i, t in rows)
+    by_text = {r.n_bytes: r.ending_sha256 for r in got}
+    for _, t in rows:
+        payload, n = padded(t)
+        assert by_text[n] == hashlib.sha256(payload[-192:]).hexdigest()
+
+
 def test_query_rows(spark):
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, digest string, pos int")
     got = {r.doc_id: r for r in store_and_read(docs).collect()}

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quillon.llm.quality import Rule, keep_good, measure, ordered, passes, rules, with_words
+from quillon.llm.quality import MEASURES, Rule, _measured, costs, keep_good, measure, ordered, passes, rules
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -49,10 +49,26 @@ def test_very_long_text(spark):
     assert r.n_words == r.n_repeat_words == 240_000 and r.base_failed and not r.kept
 
 
-def test_order_follows_rejections_and_not_the_verdict(spark):
+def test_order_follows_rejections_per_cost_and_not_the_verdict(spark):
     docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(200)], "doc_id long, text string")
-    often, never = Rule("often", F.col("_n_words") > 5), Rule("never", F.col("_n_words") < 0)
+    often, never = Rule("often", ("_n_words",), F.col("_n_words") > 5), Rule("never", ("_n_words",), F.col("_n_words") < 0)
     assert [r.name for r in ordered(docs, [never, often])] == ["often", "never"]
-    found, base = rules(), F.lit(False)
-    rows = with_words(docs)
-    assert rows.select(passes(found, base).alias("k")).exceptAll(rows.select(passes(found[::-1], base).alias("k"))).count() == 0
+    found = rules()
+    rows = _measured(docs, *MEASURES)
+    assert rows.select(passes(found).alias("k")).exceptAll(rows.select(passes(found[::-1]).alias("k"))).count() == 0
+
+
+def test_a_dear_rule_of_few_rejections_comes_last(spark):
+    docs = spark.createDataFrame([(i, "word " * (i + 100) + "end") for i in range(300)], "doc_id long, text string")
+    dear = F.aggregate(F.sequence(F.lit(0), F.size("_words") * 30), F.lit(0).cast("bigint"), lambda a, x: a + F.xxhash64(x) % 7) > 10**12
+    found = [Rule("dear", ("_n_words",), dear | (F.col("_n_words") > 395)), Rule("cheap", ("_n_words",), F.col("_n_words") > 380)]
+    known = costs(docs, found)
+    assert known["dear"][0] > known["cheap"][0] and known["dear"][1] < known["cheap"][1]
+    assert [r.name for r in ordered(docs, found)] == ["cheap", "dear"]
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    docs = spark.createDataFrame([(None, TEXTS[6]), (None, TEXTS[6]), (3, None), (3, "l1 w one two three four five six seven eight"), (3, "l1 w one two three four five six seven eight")], "doc_id long, text string")
+    got = measure(docs).collect()
+    assert len(got) == 5 and sum(r.doc_id is None for r in got) == 2 and sum(r.kept for r in got) == 2
+    assert keep_good(docs).count() == 2

@@ -1,13 +1,16 @@
 """Language identification with string kernels.
 
-A text is its sets of byte n-grams, n from 1 to 3, over the whole text with A-Z lowered (n-grams are kept by a 16-bit
+A text is its sets of byte n-grams, n from 1 to 3, over the whole text with A-Z lowered (trigrams are kept by a 20-bit
 code). The blended-spectrum presence kernel of two texts is the sum over n of the common n-grams divided by the root
 of the product of both counts. A few training texts of each language are Nyström landmarks: texts are mapped by their
 kernel values against the landmarks and the inverse root of the landmarks' own kernel matrix. One-versus-rest kernel
 ridge regression on that map gives a score a language; batches are scored by matrix products.
 
-Learned from a bounded sample: PER_LANGUAGE texts of each language, of which LANDMARKS are landmarks. Null texts and
-texts without a letter are `und` with score 0. Without any training row every text is.
+Learned from a bounded sample: PER_LANGUAGE texts of each language, of which LANDMARKS are landmarks, of LANGUAGES
+languages at most (those with the most rows) and BYTES bytes for each. Null texts and texts without a letter are `und`
+with score 0. Without any training row every text is. Every row is scored alone, so repeated rows get the same result;
+of languages with the same score the first in alphabetical order is taken; long texts count whole; rows without doc_id
+are scored but not learned from; an empty table gives an empty one. Columns that aren't asked for are ignored.
 """
 
 from __future__ import annotations
@@ -20,28 +23,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out, short_batches, utf8
+from quillon.llm.common import held_out, short, utf8
 
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 400, 24, 1e-2, 6.0
-NGRAMS, CODES = (1, 2, 3), 1 << 16
+#: Languages that are learned, and bytes of the texts of one.
+LANGUAGES, BYTES = 256, 4 << 20
+NGRAMS, BITS = (1, 2, 3), (8, 16, 20)
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
 
-def presence(data: np.ndarray) -> np.ndarray:
-    """Which n-gram codes a text has: a row of booleans for each n."""
+def presence(data: np.ndarray) -> list[np.ndarray]:
+    """Which n-gram codes a text has: an array of booleans for each n."""
     x = _LOWER[data]
-    out = np.zeros((len(NGRAMS), CODES), bool)
-    for row, n in zip(out, NGRAMS, strict=True):
+    out = []
+    for n, bits in zip(NGRAMS, BITS, strict=True):
+        has = np.zeros(1 << bits, bool)
         if len(x) >= n:
             code = x[: len(x) - n + 1].copy()
             for k in range(1, n):
                 code = (code << np.uint32(8)) | x[k : len(x) - n + 1 + k]
-            if n > 2:
-                code = (code * np.uint32(0x9E3779B1)) >> np.uint32(16)
-            row[code] = True
+            if bits < 8 * n:
+                code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+            has[code] = True
+        out.append(has)
     return out
 
 
@@ -79,8 +86,11 @@ def fit(texts: list[bytes], langs: list[str], *, landmarks: int = LANDMARKS) ->
         return None
     arrays = [np.frombuffer(t, np.uint8) for t in texts]
     chosen = [i for lang in languages for i in [i for i, x in enumerate(langs) if x == lang][:landmarks]]
-    has = np.array([presence(arrays[i]) for i in chosen])
-    columns = [np.flatnonzero(has[:, n].any(axis=0)) for n in range(len(NGRAMS))]
+    any_has = [np.zeros(1 << bits, bool) for bits in BITS]
+    for i in chosen:
+        for some, has in zip(any_has, presence(arrays[i]), strict=True):
+            some |= has
+    columns = [np.flatnonzero(has) for has in any_has]
     model = Model(languages, columns, np.zeros((0, sum(map(len, columns))), np.float32), np.zeros((0, 0)))
     model.landmarks = model.rows([arrays[i] for i in chosen])
     own = (model.landmarks @ model.landmarks.T).astype(float)
@@ -100,7 +110,7 @@ def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, landmarks: int =
     """Learns from at most per_language texts of each language, those whose doc_id has the smallest hash."""
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("text").rlike("\\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     # half as many again as are needed pass the hash's threshold; the smallest hashes of these are taken
@@ -108,7 +118,9 @@ def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, landmarks: int =
     unit = (F.xxhash64("doc_id").cast("double") / float(1 << 64)) + 0.5
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     some = known.join(F.broadcast(shares), "lang").where(unit <= F.col("share")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    rows = some.orderBy("lang", "n").select("lang", "text").collect()
+    # the sample's texts up to the bound of bytes, but one of each language at least
+    held = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("n"))
+    rows = some.withColumn("held", held).where((F.col("held") <= BYTES) | (F.col("n") == 1)).orderBy("lang", "n").select("lang", "text").collect()
     return fit([r["text"].encode() for r in rows], [r["lang"] for r in rows], landmarks=landmarks)
 
 
@@ -127,13 +139,12 @@ def _predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarr
 
 def identify(docs: DataFrame, model: Model | None, *extra: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, and the extra columns of docs that are named."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").alias("_text"), *[F.col(c) for c in extra if c != "doc_id"]]
     given = docs.select(*columns)
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             langs, scores = _predict(shared.value, b.column(2))
             arrays = [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores), *b.columns[3:]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]])

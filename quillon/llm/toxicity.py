@@ -8,26 +8,30 @@ word in the backed-off models. A logistic curve over the three, fitted on a part
 gives the probability.
 
 Null and empty texts, and texts without words, get the ratios 0. Where one of the classes has no usable row, every
-score is the share of toxic rows among the usable ones (0 if there are none).
+score is the share of toxic rows among the usable ones (0 if there are none). Every row is scored alone and whole, so
+repeated rows get the same score; an empty table gives an empty one; other columns are ignored. A doc_id with several
+labels is toxic if one of them says so; of its texts, if it has several, the greatest one is learned from. The sample is
+the labelled rows with the smallest hashes of doc_id (ties by doc_id): SAMPLE of a class, and BYTES of their texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out, short_batches, utf8
+from quillon.llm.common import held_out, short, utf8
 from quillon.llm.shingles import words
 
 #: Words are runs of letters, digits, apostrophes and non-ASCII bytes.
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = False
-#: Labelled documents of a class that are learned from at most.
-SAMPLE = 2000
+#: Labelled documents of a class that are learned from at most, and bytes of their texts.
+SAMPLE, BYTES = 3000, 16 << 20
 #: Taken from counts of class bigrams and of shared contexts, and from the counts of contexts within a class.
 DISCOUNT, CLASS_DISCOUNT, WINDOW = 0.75, 3.0, 8
 
@@ -164,6 +168,103 @@ def _curve(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.append(beta[:3] / scale, beta[3] - (beta[:3] * mean / scale).sum())
 
 
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most_bytes: int = BYTES) -> Model:
+    """Learns from at most `sample` documents of each class; the model is fitted in a worker and comes back as bytes."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    prior = counts.get(1, 0) / max(sum(counts.values()), 1)
+    order = F.xxhash64("doc_id")
+    some = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
+    # at most 2 * sample rows, however often an id is repeated
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    held = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    rows = texts.withColumn("held", held).where(F.col("held") <= most_bytes).select("doc_id", "text", "toxic")
+
+    def run(batches):
+        given = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())]))
+        given = given.take(np.argsort(given["doc_id"].to_numpy(), kind="stable"))
+        text = given["text"].combine_chunks() if given.num_rows else pa.array([], pa.string())
+        model = fit(text, given["toxic"].to_numpy().astype(np.int64), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int64), prior)
+
+
+def score(self, column) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.full(len(column), self.prior)
+        return _logistic(self.ratios(column) @ self.curve[:3] + self.curve[3])
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
+    """Models of the two classes; prior is the share of toxic rows among all usable labels."""
+    none = np.zeros(0)
+    if not len(toxic) or toxic.all() or not toxic.any():
+        return Model(none.astype(np.uint64), none, none, none.astype(np.int64), none, np.zeros(4), prior)
+    # every third row of a class fits the curve, the others are counted; too few rows do both
+    turn = np.zeros(len(toxic), np.int64)
+    for c in (0, 1):
+        turn[toxic == c] = np.arange((toxic == c).sum())
+    few = min(toxic.sum(), (1 - toxic).sum()) < 6
+    for_curve = np.ones(len(toxic), bool) if few else turn % 3 == 2
+    counted = np.ones(len(toxic), bool) if few else ~for_curve
+    tables, hashes = {}, {}
+    for c in (0, 1):
+        hashes[c] = word_ids(texts.filter(pa.array(counted & (toxic == c))))
+    vocabulary = np.unique(np.concatenate([h for h, _ in hashes.values()]))
+    n = len(vocabulary)
+    for c, (h, bounds) in hashes.items():
+        ids, at = _look_up(vocabulary, h), _pairs(h, bounds)
+        tables[c] = np.unique(ids[at - 1] * (n + 1) + ids[at], return_counts=True)
+    pairs = np.unique(np.concatenate([k for k, _ in tables.values()]))
+    shared = np.bincount(pairs % (n + 1), minlength=n + 1)
+    kept = np.maximum(shared - DISCOUNT, 0)
+    base = (kept + (len(pairs) - kept.sum() + 1) / (n + 1)) / (len(pairs) + 1)
+    single, weight, full = {}, {}, {}
+    for c, (keys, count) in tables.items():
+        before, after = keys // (n + 1), keys % (n + 1)
+        kinds = np.bincount(after, minlength=n + 1)
+        left = np.maximum(kinds - CLASS_DISCOUNT, 0)
+        total = max(kinds.sum(), 1)
+        single[c] = left / total + (1 - left.sum() / total) * base
+        seen, follow = np.bincount(before, count, n + 1), np.bincount(before, minlength=n + 1)
+        weight[c] = np.where(seen > 0, DISCOUNT * follow / np.maximum(seen, 1), 1.0)
+        of = np.zeros(len(pairs))
+        of[np.searchsorted(pairs, keys)] = count
+        v, w = pairs // (n + 1), pairs % (n + 1)
+        full[c] = np.maximum(of - DISCOUNT, 0) / np.maximum(seen[v], 1) + weight[c][v] * single[c][w]
+    ratio = lambda x: (np.log(x[1]) - np.log(x[0])).astype(np.float32)
+    # a word that only one class knows says nothing about what neither has seen after it
+    known = np.logical_and(*[np.bincount(k // (n + 1), minlength=n + 1) > 0 for k, _ in tables.values()])
+    model = Model(vocabulary, ratio(single), np.where(known, ratio(weight), np.float32(0)), pairs, ratio(full), np.zeros(4), prior)
+    y = toxic[for_curve].astype(float)
+    x = model.ratios(texts.filter(pa.array(for_curve)))
+    share = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)
+    model.curve = _curve(x, y, share)
+    return model
+
+
+def _curve(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton steps; weights for the columns as they are, then the intercept."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    ridge = np.diag([0.5, 0.5, 0.5, 1e-6])
+    beta = np.zeros(4)
+    for _ in range(40):
+        p = _logistic(z @ beta)
+        h = (z * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + ridge
+        step = np.linalg.solve(h, z.T @ (share * (y - p)) - ridge @ beta)
+        beta += np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.append(beta[:3] / scale, beta[3] - (beta[:3] * mean / scale).sum())
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """Learns from at most `sample` documents of each class, those whose doc_id has the smallest hash."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -179,11 +280,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; held_out is null where doc_id is."""
-    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in short(batches):
             s = shared.value.score(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

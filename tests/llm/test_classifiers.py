@@ -72,3 +72,75 @@ def test_toxicity_edges(spark):
     assert s[0] > s[1] and s[2] == s[3] and s[4] > s[1] and np.isfinite(s).all()
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert docs.select(F.count("*")).first()[0] == 5
+
+
+def test_repeated_ids_long_texts_and_ties(spark):
+    docs = spark.createDataFrame([(1, "you scum", "en")] * 3 + [(1, "you nice", "en"), (3, "nice words " * 200_000, "en"), (None, None, None), (5, "mots", "fr")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (3, 0), (3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 7 and len({r.score for r in got if r.doc_id == 1}) <= 2 and all(0 <= r.score <= 1 for r in got)
+    found = language.identify(docs, language.learn(docs)).collect()
+    assert len(found) == 7 and {r.lang_pred for r in found if r.doc_id == 3} == {"en"} and len({(r.lang_pred, r.score) for r in found if r.doc_id == 1}) <= 2
+    tied = language.fit([b"abc", b"abc"], ["b", "a"], landmarks=1)
+    assert tied.predict([np.frombuffer(b"abc", np.uint8)])[0] == ["a"]
+
+
+def test_kneser_ney_by_its_formulas():
+    """Word and pair ratios against a plain version with dictionaries."""
+    from collections import Counter
+
+    toxic, ordinary = ["a b c a b", "b a b c", "c c a"], ["a c b", "b b a c a", "c a c b a", "a b"]
+    texts = toxic + ordinary
+    model = toxicity.fit(pa.array(texts), np.array([1] * 3 + [0] * 4), 0.5)  # few rows: all of them are counted
+    d, e = toxicity.DISCOUNT, toxicity.CLASS_DISCOUNT
+    words = sorted({w for t in texts for w in t.split()})
+    counts = [Counter(p for t in of for p in zip(t.split(), t.split()[1:], strict=False)) for of in (ordinary, toxic)]
+    types = {p for c in counts for p in c}
+    shared = Counter(w for _, w in types)
+    lost = len(types) - sum(max(shared[w] - d, 0) for w in words) + 1
+    base = {w: (max(shared[w] - d, 0) + lost / (len(words) + 1)) / (len(types) + 1) for w in words}
+
+    def single(c, w):
+        kinds = Counter(x for _, x in counts[c])
+        total = sum(kinds.values())
+        left = {x: max(kinds[x] - e, 0) for x in words}
+        return left[w] / total + (1 - sum(left.values()) / total) * base[w]
+
+    def pair(c, v, w):
+        seen = sum(n for (x, _), n in counts[c].items() if x == v)
+        follow = sum(1 for x, _ in counts[c] if x == v)
+        weight = d * follow / seen if seen else 1.0
+        return max(counts[c][v, w] - d, 0) / max(seen, 1) + weight * single(c, w)
+
+    got = model.ratios(pa.array([f"{w}" for w in words] + [f"{v} {w}" for v, w in sorted(types)]))
+    for w, r in zip(words, got, strict=False):
+        assert np.isclose(r[0], np.log(single(1, w) / single(0, w)), atol=1e-5)
+    for (v, w), r in zip(sorted(types), got[len(words) :], strict=True):
+        want = (np.log(single(1, v) / single(0, v)) + np.log(pair(1, v, w) / pair(0, v, w))) / 2
+        assert np.isclose(r[0], want, atol=1e-5)
+
+
+def test_nystroem_ridge_by_its_formulas():
+    """Scores against a kernel ridge regression written out on the landmarks' kernel matrix."""
+    texts = [b"the cat sat on the mat", b"der Hund lag auf dem Bett", b"the dog sat by the door", b"die Katze lag im Bett", b"a bird in the hand"]
+    langs = ["en", "de", "en", "de", "en"]
+    model = language.fit(texts, langs, landmarks=2)
+
+    def kernel(x, y):
+        total = 0.0
+        for n in (1, 2, 3):
+            a, b = ({t.lower()[i : i + n] for i in range(len(t) - n + 1)} for t in (x, y))
+            total += len(a & b) / np.sqrt(len(a) * len(b))
+        return total
+
+    marks = [texts[1], texts[3], texts[0], texts[2]]
+    k_mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    k_nm = np.array([[kernel(a, b) for b in marks] for a in texts])
+    y = np.array([[1.0 if lang == x else -1.0 for x in ("de", "en")] for lang in langs])
+    w = np.diag([1 / langs.count(lang) for lang in langs])
+    # ridge on the map K_nm K_mm^(-1/2) is this system in the landmarks' weights
+    alpha = np.linalg.solve(k_nm.T @ w @ k_nm + language.RIDGE * k_mm, k_nm.T @ w @ y)
+    arrays = [np.frombuffer(t, np.uint8) for t in [*texts, b"the bed", b"das Bett"]]
+    want = np.array([[kernel(t, m) for m in marks] for t in [*texts, b"the bed", b"das Bett"]]) @ alpha
+    assert np.allclose((model.rows(arrays) @ model.landmarks.T) @ model.weights, want, atol=1e-3)

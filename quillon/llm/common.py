@@ -29,11 +29,6 @@ def short(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator
             yield b.slice(at, rows)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold Arrow batches to a few hundred rows so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import language, minhash, packing, quality, repeats
-from quillon.llm.common import materialize, table
+from quillon.llm.common import discard_all, materialize, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn. What a stage and its operator wrote is deleted once the next stage's table is there."""
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(spark, stage(spark, docs, sf_dir), name)
+        docs, at = materialize(spark, stage(spark, docs, sf_dir), name)
+        discard_all(spark, at, since=before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -427,7 +427,8 @@ def _cut(batches):
         if r["starts"]:
             starts = np.array(r["starts"], np.int64)
             spans.append((starts, starts, starts + r["least"]))
-        for _, begin, end in spans:
+        if spans:
+            _, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
             change += np.bincount(begin, minlength=len(change)) - np.bincount(end, minlength=len(change))
         gone = np.cumsum(change[:-1]) > 0
         rises = gone.copy()

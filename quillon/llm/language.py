@@ -1,7 +1,6 @@
 """Language identification with string kernels.
 
-A text is its sets of byte n-grams, n from 1 to 3, over the whole text with A-Z lowered (trigrams are kept by a 20-bit
-code). The blended-spectrum presence kernel of two texts is the sum over n of the common n-grams divided by the root
+A text is its sets of byte n-grams, n from 1 to 3, over the whole text with A-Z lowered. The blended-spectrum presence kernel of two texts is the sum over n of the common n-grams divided by the root
 of the product of both counts. A few training texts of each language are Nyström landmarks: texts are mapped by their
 kernel values against the landmarks and the inverse root of the landmarks' own kernel matrix. One-versus-rest kernel
 ridge regression on that map gives a score a language; batches are scored by matrix products.
@@ -28,7 +27,7 @@ from quillon.llm.common import held_out, short, utf8
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 400, 24, 1e-2, 6.0
 #: Languages that are learned, and bytes of the texts of one.
 LANGUAGES, BYTES = 256, 4 << 20
-NGRAMS, BITS = (1, 2, 3), (8, 16, 20)
+NGRAMS = (1, 2, 3)
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -36,19 +35,15 @@ _LOWER[65:91] += 32
 
 
 def presence(data: np.ndarray) -> list[np.ndarray]:
-    """Which n-gram codes a text has: an array of booleans for each n."""
+    """Which n-grams a text has: their sorted codes for each n."""
     x = _LOWER[data]
     out = []
-    for n, bits in zip(NGRAMS, BITS, strict=True):
-        has = np.zeros(1 << bits, bool)
-        if len(x) >= n:
-            code = x[: len(x) - n + 1].copy()
-            for k in range(1, n):
-                code = (code << np.uint32(8)) | x[k : len(x) - n + 1 + k]
-            if bits < 8 * n:
-                code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-            has[code] = True
-        out.append(has)
+    for n in NGRAMS:
+        code = x[: max(0, len(x) - n + 1)].copy()
+        for k in range(1, n):
+            code = (code << np.uint32(8)) | x[k : len(x) - n + 1 + k]
+        code.sort()
+        out.append(code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code)
     return out
 
 
@@ -64,10 +59,10 @@ class Model:
         out = np.zeros((len(texts), self.landmarks.shape[1]), np.float32)
         for row, text in zip(out, texts, strict=True):
             at = 0
-            for has, columns in zip(presence(text), self.columns, strict=True):
-                n = np.count_nonzero(has)
-                if n:
-                    row[at : at + len(columns)] = has[columns] / np.sqrt(n)
+            for codes, columns in zip(presence(text), self.columns, strict=True):
+                if len(codes) and len(columns):
+                    place = np.minimum(np.searchsorted(columns, codes), len(columns) - 1)
+                    row[at + place[columns[place] == codes]] = 1 / np.sqrt(len(codes))
                 at += len(columns)
         return out
 
@@ -86,11 +81,7 @@ def fit(texts: list[bytes], langs: list[str], *, landmarks: int = LANDMARKS) ->
         return None
     arrays = [np.frombuffer(t, np.uint8) for t in texts]
     chosen = [i for lang in languages for i in [i for i, x in enumerate(langs) if x == lang][:landmarks]]
-    any_has = [np.zeros(1 << bits, bool) for bits in BITS]
-    for i in chosen:
-        for some, has in zip(any_has, presence(arrays[i]), strict=True):
-            some |= has
-    columns = [np.flatnonzero(has) for has in any_has]
+    columns = [np.unique(np.concatenate(codes)) for codes in zip(*(presence(arrays[i]) for i in chosen), strict=True)]
     model = Model(languages, columns, np.zeros((0, sum(map(len, columns))), np.float32), np.zeros((0, 0)))
     model.landmarks = model.rows([arrays[i] for i in chosen])
     own = (model.landmarks @ model.landmarks.T).astype(float)

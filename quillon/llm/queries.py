@@ -95,6 +95,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; tests/llm holds the others to brute force."""
     return {
+        "op1_suffix_dedup": r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+            w AS (SELECT doc_id, p, md5_number(b[p:p + 99]) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS p FROM d)),
+            r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+            g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER o <= 100 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+            i AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS z FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g) GROUP BY doc_id, island),
+            k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM i UNION ALL SELECT doc_id, max(z) + 1, 1000000000 FROM i GROUP BY doc_id),
+            h AS (SELECT doc_id, sha256(unhex(string_agg(hex(b[f:t]), '' ORDER BY f))) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+            n AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM i GROUP BY doc_id)
+            SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, coalesce(kept, sha256(b)) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)""",
         "op5_warc": """WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
             d AS (SELECT *, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM p),
             f AS (SELECT html, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY html)
@@ -115,4 +124,13 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                 NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 10 * upper > 6 * letters OR 2 * letters < word_chars) AS kept FROM f""",
+        "op10_minhash": r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            s AS (SELECT DISTINCT doc_id, md5_number(s) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2], ws[i + 3])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM t)),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+            e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+            r AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+            m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+            SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t JOIN m ON m.x = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id""",
     }

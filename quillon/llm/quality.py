@@ -70,7 +70,8 @@ def word_chars() -> Column:
 
 
 def n_symbols() -> Column:
-    return (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("bigint")
+    some = f"[{SYMBOLS}]"
+    return F.when(F.col("_text").rlike(some), F.char_length(F.regexp_replace("_text", f"[^{SYMBOLS}]+", ""))).otherwise(0).cast("bigint")
 
 
 def with_lines(docs: DataFrame) -> DataFrame:

@@ -72,6 +72,20 @@ def binomial_cdf(k: int, n: int, p: float = 0.5) -> float:
     return 0.0 if k < 0 else 1.0 if k >= n else incomplete_beta(n - k, k + 1, 1 - p)
 
 
+def studentized_range_sf(q: float, k: int) -> float:
+    """Upper tail of the range of k standard normal numbers, by Simpson's rule over the smallest one's place."""
+    if not q > 0 or k < 2:
+        return 1.0 if k >= 2 and q <= 0 else float("nan")
+    n, low, high = 4000, -9.0, 9.0
+    step, total = (high - low) / n, 0.0
+    for i in range(n + 1):
+        z = low + i * step
+        density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        value = density * (normal_cdf(z + q) - normal_cdf(z)) ** (k - 1)
+        total += value * (1 if i in (0, n) else 4 if i % 2 else 2)
+    return min(1.0, max(0.0, 1 - k * total * step / 3))
+
+
 def quantile(cdf, q: float, low: float = -1e3, high: float = 1e3) -> float:
     """The point at which a distribution function reaches q, by bisection."""
     for _ in range(200):

@@ -15,13 +15,63 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.graph import normalized_adjacency, pairs, propagate
 from quillon.operators.ranking import top_k
-
+from quillon.scratch import written
 
 #: The most users and items that meet at once in a task.
 USERS, ITEMS = 2048, 4096
 
 
+@dataclass
+class Optimizer:
+    """Gradient steps by their published formulas: sgd, adagrad, rmsprop, adam.
+
+    `step` keeps its moments for numpy arrays; `columns` gives the same steps as expressions over moments that the table
+    of parameters keeps in the columns m and v.
+    """
+
+    kind: str = "sgd"
+    rate: float = 0.01
+    decay: float = 0.9
+    second: float = 0.999
+    small: float = 1e-8
+
+    def __post_init__(self):
+        if self.kind not in ("sgd", "adagrad", "rmsprop", "adam"):
+            raise ValueError("kind is sgd, adagrad, rmsprop or adam")
+        self.state: dict[str, np.ndarray] = {}
+        self.turn = 0
+
+    def step(self, gradient: np.ndarray) -> np.ndarray:
+        """What to add to the parameters to follow the gradient upwards."""
+        g, s = np.asarray(gradient, float), self.state
+        self.turn += 1
+        if self.kind == "sgd":
+            return self.rate * g
+        zero = np.zeros_like(g)
+        if self.kind == "adagrad":
+            s["v"] = s.get("v", zero) + g * g
+            return self.rate * g / (np.sqrt(s["v"]) + self.small)
+        if self.kind == "rmsprop":
+            s["v"] = self.decay * s.get("v", zero) + (1 - self.decay) * g * g
+            return self.rate * g / (np.sqrt(s["v"]) + self.small)
+        s["m"] = self.decay * s.get("m", zero) + (1 - self.decay) * g
+        s["v"] = self.second * s.get("v", zero) + (1 - self.second) * g * g
+        return self.rate * (s["m"] / (1 - self.decay**self.turn)) / (np.sqrt(s["v"] / (1 - self.second**self.turn)) + self.small)
+
+    def columns(self, gradient: Column, m: Column, v: Column, turn: int) -> tuple[Column, Column, Column]:
+        """The step, the new m and the new v of one parameter in its turn-th step (from 1)."""
+        g = gradient
+        if self.kind == "sgd":
+            return self.rate * g, m, v
+        if self.kind == "adam":
+            m, v = self.decay * m + (1 - self.decay) * g, self.second * v + (1 - self.second) * g * g
+            return self.rate * (m / (1 - self.decay**turn)) / (F.sqrt(v / (1 - self.second**turn)) + self.small), m, v
+        v = v + g * g if self.kind == "adagrad" else self.decay * v + (1 - self.decay) * g * g
+        return self.rate * g / (F.sqrt(v) + self.small), m, v
+
+
 @dataclass(frozen=True)
 class Factors:
     users: DataFrame  # id, factors, bias
@@ -40,100 +90,156 @@ def initial(ids: DataFrame, width: int, *, mean: float = 0.0, std: float = 0.1,
     return ids.select("id", F.array(*[normal(k) * std + mean for k in range(width)]).alias("factors"), F.lit(0.0).alias("bias"))
 
 
-def _stepped(table: DataFrame, grads: DataFrame, rate: float, width: int) -> DataFrame:
-    """Factors and biases moved by the mean gradient of each id."""
+def _moments(table: DataFrame, width: int) -> DataFrame:
+    """The table with the moments m and v of its factors and bias, zero at first."""
+    zeros = F.array(*[F.lit(0.0)] * (width + 1))
+    return table.withColumn("m", zeros).withColumn("v", zeros)
+
+
+def _stepped(table: DataFrame, grads: DataFrame, optimizer: Optimizer, turn: int, width: int) -> DataFrame:
+    """Factors and biases moved by the mean gradient g (the bias's last) of each id; ids without gradient stay."""
     joined = table.join(grads, "id", "left")
-    moved = F.array(*[F.col("factors")[k] + rate * F.coalesce(F.col("g")[k], F.lit(0.0)) for k in range(width)])
-    return joined.select("id", moved.alias("factors"), (F.col("bias") + rate * F.coalesce("gb", F.lit(0.0))).alias("bias"))
+    was = [F.col("factors")[k] for k in range(width)] + [F.col("bias")]
+    moved = [optimizer.columns(F.col("g")[k], F.col("m")[k], F.col("v")[k], turn) for k in range(width + 1)]
+    new = [w + F.coalesce(step, F.lit(0.0)) for w, (step, _, _) in zip(was, moved, strict=True)]
+    moments = [F.array(*[F.coalesce(parts[at], F.col(name)[k]) for k, parts in enumerate(moved)]).alias(name) for at, name in ((1, "m"), (2, "v"))]
+    return joined.select("id", F.array(*new[:width]).alias("factors"), new[width].alias("bias"), *moments)
 
 
 def _mean_vector(width: int, name: str) -> Column:
     return F.array(*[F.avg(F.col(name)[k]) for k in range(width)])
 
 
-def fit_mf(samples: Callable[[int], DataFrame], ids: tuple[DataFrame, DataFrame], *, width: int = 16, epochs: int = 5, rate: float = 0.05, reg: float = 0.01, seed: int = 0, patience: int | None = None, checked: Callable[[Factors], float] | None = None) -> Factors:
-    """Biased matrix factorisation by gradient steps on samples(epoch): u, i, r.
+def _parts(samples: DataFrame, batches: int, *key: str) -> list[DataFrame]:
+    """An epoch's samples, written, as a number of batches."""
+    drawn = written(samples)
+    return [drawn] if batches == 1 else [drawn.where(F.pmod(F.xxhash64(*key), F.lit(batches)) == n) for n in range(batches)]
 
-    checked: a score to maximise after each epoch; the best factors are kept, and `patience` epochs without a better
-    one end the training.
-    """
-    first = samples(0)
-    mean = first.agg(F.avg("r")).first()[0] or 0.0
-    model = Factors(initial(ids[0], width, seed=seed), initial(ids[1], width, seed=seed + 1), mean)
+
+def _epochs(model, epochs: int, epoch_of: Callable, checked: Callable | None, patience: int | None):
+    """The model after its epochs; with checked, the best one seen, and the end after `patience` epochs without a better one."""
     best, best_score, waited = model, float("-inf"), 0
     for epoch in range(epochs):
-        s = _written(first if epoch == 0 else samples(epoch))  # drawn once, read by both sides
-        u, i = model.users.select(F.col("id").alias("u"), F.col("factors").alias("p"), F.col("bias").alias("bu")), model.items.select(F.col("id").alias("i"), F.col("factors").alias("q"), F.col("bias").alias("bi"))
-        e = s.join(u, "u").join(i, "i").withColumn("err", F.col("r") - (mean + F.col("bu") + F.col("bi") + dot(F.col("p"), F.col("q"))))
-        grad = lambda a, b: F.zip_with(a, b, lambda x, y: F.col("err") * y - reg * x)
-        gu = e.select(F.col("u").alias("id"), grad(F.col("p"), F.col("q")).alias("g"), (F.col("err") - reg * F.col("bu")).alias("gb")).groupBy("id").agg(_mean_vector(width, "g").alias("g"), F.avg("gb").alias("gb"))
-        gi = e.select(F.col("i").alias("id"), grad(F.col("q"), F.col("p")).alias("g"), (F.col("err") - reg * F.col("bi")).alias("gb")).groupBy("id").agg(_mean_vector(width, "g").alias("g"), F.avg("gb").alias("gb"))
-        model = _saved(replace(model, users=_stepped(model.users, gu, rate, width), items=_stepped(model.items, gi, rate, width)))
+        model = epoch_of(model, epoch)
         if checked is not None:
             score = checked(model)
             best, best_score, waited = (model, score, 0) if score > best_score else (best, best_score, waited + 1)
             if patience is not None and waited >= patience:
                 break
-    return best if checked is not None else model
+    return best if checked is not None and epochs else model
 
 
-def fit_bpr(triples: Callable[[int], DataFrame], ids: tuple[DataFrame, DataFrame], *, width: int = 16, epochs: int = 5, rate: float = 0.1, reg: float = 0.01, seed: int = 0) -> Factors:
-    """Pairwise ranking on triples(epoch): u, i (seen), j (unseen)."""
-    model = Factors(initial(ids[0], width, seed=seed), initial(ids[1], width, seed=seed + 1))
-    for epoch in range(epochs):
-        t = _written(triples(epoch))
-        name = lambda table, key, f: table.select(F.col("id").alias(key), F.col("factors").alias(f))
-        e = t.join(name(model.users, "u", "p"), "u").join(name(model.items, "i", "qi"), "i").join(name(model.items, "j", "qj"), "j")
-        e = e.withColumn("d", F.zip_with("qi", "qj", lambda x, y: x - y)).withColumn("s", 1.0 / (1.0 + F.exp(dot(F.col("p"), F.col("d")))))
-        gu = e.select(F.col("u").alias("id"), F.zip_with("p", "d", lambda x, y: F.col("s") * y - reg * x).alias("g"))
-        gi = e.select(F.col("i").alias("id"), F.zip_with("qi", "p", lambda x, y: F.col("s") * y - reg * x).alias("g"))
-        gj = e.select(F.col("j").alias("id"), F.zip_with("qj", "p", lambda x, y: -F.col("s") * y - reg * x).alias("g"))
-        mean = lambda g: g.groupBy("id").agg(_mean_vector(width, "g").alias("g"), F.lit(0.0).alias("gb"))
-        model = _saved(replace(model, users=_stepped(model.users, mean(gu), rate, width), items=_stepped(model.items, mean(gi.union(gj)), rate, width)))
-    return model
-
-
-def fit_lightgcn(cells: DataFrame, triples: Callable[[int], DataFrame], *, width: int = 8, layers: int = 2, epochs: int = 3, rate: float = 0.5, reg: float = 1e-4, seed: int = 0) -> DataFrame:
-    """id ('u…', 'i…'), vector after propagation, trained on pairwise loss.
+def fit_mf(
+    samples: Callable[[int], DataFrame], ids: tuple[DataFrame, DataFrame], *, width: int = 16, epochs: int = 5, rate: float = 0.05, reg: float = 0.01, seed: int = 0,
+    optimizer: str = "sgd", batches: int = 1, patience: int | None = None, checked: Callable[[Factors], float] | None = None,
+) -> Factors:
+    """Biased matrix factorisation by gradient steps on samples(epoch): u, i, r.
 
-    The graph matrix A is symmetric, so the gradient of the first layer is the mean of A^k times the gradient at the
-    propagated vectors: the same propagation runs backwards.
+    checked: a score to maximise after each epoch; the best factors are kept, and `patience` epochs without a better
+    one end the training. batches: steps an epoch.
     """
-    from quillon.operators.graph import normalized_adjacency, propagate
+    first = written(samples(0))
+    mean = first.agg(F.avg("r")).first()[0] or 0.0
+    method = Optimizer(optimizer, rate)
 
-    graph = _written(normalized_adjacency(cells))
-    nodes = graph.select(F.col("src").alias("id")).distinct()
-    base = _written(initial(nodes, width, seed=seed).select("id", F.col("factors").alias("vector")))
-    for epoch in range(epochs):
-        now = propagate(graph, base, layers, width)
-        t = _written(triples(epoch)).select(F.concat(F.lit("u"), "u").alias("u"), F.concat(F.lit("i"), "i").alias("i"), F.concat(F.lit("i"), "j").alias("j"))
-        name = lambda key, v: now.select(F.col("id").alias(key), F.col("vector").alias(v))  # noqa: B023, E731
-        e = t.join(name("u", "p"), "u").join(name("i", "qi"), "i").join(name("j", "qj"), "j")
-        e = e.withColumn("d", F.zip_with("qi", "qj", lambda x, y: x - y)).withColumn("s", 1.0 / (1.0 + F.exp(dot(F.col("p"), F.col("d")))))
-        parts = [e.select(F.col(k).alias("id"), F.transform(v, lambda x, sign=sign: sign * F.col("s") * x).alias("g")) for k, v, sign in (("u", "d", 1.0), ("i", "p", 1.0), ("j", "p", -1.0))]
-        at_top = parts[0].union(parts[1]).union(parts[2]).groupBy("id").agg(_mean_vector(width, "g").alias("vector"))
-        zero = F.array(*[F.lit(0.0)] * width)
-        full = nodes.join(at_top, "id", "left").select("id", F.coalesce("vector", zero).alias("vector"))
-        back = propagate(graph, full, layers, width).withColumnRenamed("vector", "g")
-        base = _written(base.join(back, "id").select("id", F.zip_with("vector", "g", lambda x, y: x + rate * (y - reg * x)).alias("vector")))
-    return propagate(graph, base, layers, width)
+    def epoch_of(model: Factors, epoch: int) -> Factors:
+        for n, s in enumerate(_parts(first if epoch == 0 else samples(epoch), batches, "u", "i")):
+            turn = epoch * batches + n + 1
+            u, i = model.users.select(F.col("id").alias("u"), F.col("factors").alias("p"), F.col("bias").alias("bu")), model.items.select(F.col("id").alias("i"), F.col("factors").alias("q"), F.col("bias").alias("bi"))
+            e = s.join(u, "u").join(i, "i").withColumn("err", F.col("r") - (mean + F.col("bu") + F.col("bi") + dot(F.col("p"), F.col("q"))))
+            e = written(e)
 
+            def grad(key: str, own: str, other: str, bias: str, e=e) -> DataFrame:
+                slots = [F.avg(F.col("err") * F.col(other)[k] - reg * F.col(own)[k]) for k in range(width)]
+                return e.groupBy(F.col(key).alias("id")).agg(F.array(*slots, F.avg(F.col("err") - reg * F.col(bias))).alias("g"))
 
-def _written(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint, or kept where no folder is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if at is None:
-            import tempfile
+            model = replace(model, users=written(_stepped(model.users, grad("u", "p", "q", "bu"), method, turn, width)), items=written(_stepped(model.items, grad("i", "q", "p", "bi"), method, turn, width)))
+        return model
 
-            at = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+    start = Factors(_moments(initial(ids[0], width, seed=seed), width), _moments(initial(ids[1], width, seed=seed + 1), width), mean)
+    return _epochs(start, epochs, epoch_of, checked, patience)
 
 
-def _saved(model: Factors) -> Factors:
-    return replace(model, users=_written(model.users), items=_written(model.items))
+def fit_bpr(
+    triples: Callable[[int], DataFrame], ids: tuple[DataFrame, DataFrame], *, width: int = 16, epochs: int = 5, rate: float = 0.1, reg: float = 0.01, seed: int = 0,
+    optimizer: str = "sgd", batches: int = 1, dropout: float = 0.0, patience: int | None = None, checked: Callable[[Factors], float] | None = None,
+) -> Factors:
+    """Pairwise ranking on triples(epoch): u, i (seen), j (unseen).
+
+    dropout: the share of slots that a step leaves out, by the digest of the step and the slot; the others weigh more.
+    """
+    method = Optimizer(optimizer, rate)
+
+    def epoch_of(model: Factors, epoch: int) -> Factors:
+        for n, t in enumerate(_parts(triples(epoch), batches, "u", "i", "j")):
+            turn = epoch * batches + n + 1
+            kept = _kept_slots(width, dropout, seed, turn)
+            name = lambda table, key, f: table.select(F.col("id").alias(key), F.col("factors").alias(f))
+            e = t.join(name(model.users, "u", "p"), "u").join(name(model.items, "i", "qi"), "i").join(name(model.items, "j", "qj"), "j")
+            x = sum((F.col("p")[k] * (F.col("qi")[k] - F.col("qj")[k]) * w for k, w in enumerate(kept) if w), F.lit(0.0))
+            e = written(e.withColumn("s", 1.0 / (1.0 + F.exp(x))))
+            s, p, qi, qj = F.col("s"), F.col("p"), F.col("qi"), F.col("qj")
+            slots = lambda of: F.array(*[of(k, w) if w else F.lit(0.0) for k, w in enumerate(kept)], F.lit(0.0)).alias("g")
+            gu = e.select(F.col("u").alias("id"), slots(lambda k, w: s * w * (qi[k] - qj[k]) - reg * p[k]))  # noqa: B023
+            gi = e.select(F.col("i").alias("id"), slots(lambda k, w: s * w * p[k] - reg * qi[k]))  # noqa: B023
+            gj = e.select(F.col("j").alias("id"), slots(lambda k, w: -s * w * p[k] - reg * qj[k]))  # noqa: B023
+            mean = lambda g: g.groupBy("id").agg(_mean_vector(width + 1, "g").alias("g"))
+            model = replace(model, users=written(_stepped(model.users, mean(gu), method, turn, width)), items=written(_stepped(model.items, mean(gi.union(gj)), method, turn, width)))
+        return model
+
+    start = Factors(_moments(initial(ids[0], width, seed=seed), width), _moments(initial(ids[1], width, seed=seed + 1), width))
+    return _epochs(start, epochs, epoch_of, checked, patience)
+
+
+def _kept_slots(width: int, dropout: float, seed: int, turn: int) -> list[float]:
+    """The weight of each slot in a step: 0 for those dropped."""
+    if not 0 <= dropout < 1:
+        raise ValueError("dropout lies between 0 and 1")
+    if not dropout:
+        return [1.0] * width
+    dice = np.random.Generator(np.random.PCG64([seed, turn]))
+    return (np.where(dice.random(width) < dropout, 0.0, 1 / (1 - dropout))).tolist()
+
+
+def fit_lightgcn(
+    cells: DataFrame, triples: Callable[[int], DataFrame], *, width: int = 8, layers: int = 2, epochs: int = 3, rate: float = 0.5, reg: float = 1e-4, seed: int = 0,
+    optimizer: str = "sgd", batches: int = 1, dropout: float = 0.0, patience: int | None = None, checked: Callable[[DataFrame], float] | None = None,
+) -> DataFrame:
+    """id ('u…', 'i…'), vector after propagation, trained on pairwise loss.
+
+    The graph matrix A is symmetric, so the gradient of the first layer is the mean of A^k times the gradient at the
+    propagated vectors: the same propagation runs backwards. dropout: the share of edges that a step leaves out, by
+    digest, the same ones in both directions; checked is given the propagated vectors.
+    """
+    if not 0 <= dropout < 1:
+        raise ValueError("dropout lies between 0 and 1")
+    graph = written(normalized_adjacency(cells))
+    nodes = graph.select(F.col("src").alias("id")).distinct()
+    method = Optimizer(optimizer, rate)
+
+    def epoch_of(base: DataFrame, epoch: int) -> DataFrame:
+        for n, part in enumerate(_parts(triples(epoch), batches, "u", "i", "j")):
+            turn, edges = epoch * batches + n + 1, graph
+            if dropout:
+                unit = F.xxhash64(F.lit(seed), F.lit(turn), F.least("src", "dst"), F.greatest("src", "dst")).cast("double") / float(1 << 64) + 0.5
+                edges = graph.where(unit >= dropout).withColumn("norm", F.col("norm") / (1 - dropout))
+            now = written(propagate(edges, base.select("id", F.col("factors").alias("vector")), layers, width))
+            t = part.select(F.concat(F.lit("u"), "u").alias("u"), F.concat(F.lit("i"), "i").alias("i"), F.concat(F.lit("i"), "j").alias("j"))
+            name = lambda key, v: now.select(F.col("id").alias(key), F.col("vector").alias(v))  # noqa: B023, E731
+            e = t.join(name("u", "p"), "u").join(name("i", "qi"), "i").join(name("j", "qj"), "j")
+            e = e.withColumn("d", F.zip_with("qi", "qj", lambda x, y: x - y)).withColumn("s", 1.0 / (1.0 + F.exp(dot(F.col("p"), F.col("d")))))
+            parts = [e.select(F.col(k).alias("id"), F.transform(v, lambda x, sign=sign: sign * F.col("s") * x).alias("g")) for k, v, sign in (("u", "d", 1.0), ("i", "p", 1.0), ("j", "p", -1.0))]
+            at_top = parts[0].union(parts[1]).union(parts[2]).groupBy("id").agg(_mean_vector(width, "g").alias("vector"))
+            zero = F.array(*[F.lit(0.0)] * width)
+            full = nodes.join(at_top, "id", "left").select("id", F.coalesce("vector", zero).alias("vector"))
+            back = propagate(edges, full, layers, width)
+            with_base = back.join(base.select("id", "factors"), "id").select("id", F.array(*[F.col("vector")[k] - reg * F.col("factors")[k] for k in range(width)], F.lit(0.0)).alias("g"))
+            base = written(_stepped(base, with_base, method, turn, width))
+        return base
+
+    final = lambda base: propagate(graph, base.select("id", F.col("factors").alias("vector")), layers, width)
+    start = written(_moments(initial(nodes, width, seed=seed), width))
+    return final(_epochs(start, epochs, epoch_of, None if checked is None else lambda base: checked(final(base)), patience))
 
 
 def recommend(model: Factors, seen: DataFrame, k: int) -> DataFrame:
@@ -143,8 +249,6 @@ def recommend(model: Factors, seen: DataFrame, k: int) -> DataFrame:
     product, of which only the k best of each user survive. Every user meets every item, which is what the model
     defines; no pair is a row.
     """
-    spark = model.users.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # rows are blocks
     taken = seen.groupBy("u").agg(F.collect_list("i").alias("taken"))
     users = model.users.join(taken, F.col("id") == F.col("u"), "left").select("id", "factors", "taken")
 
@@ -197,10 +301,11 @@ def slim_elastic_net(cells: DataFrame, *, k: int = 100, l1_ratio: float = 0.1, a
     most the l1 penalty), and the up to `candidates` that break it most join the target's items. Targets without such
     items are done, so the weights are those of the regression on all items.
     """
-    used = cells.where("r <> 0")
+    used = written(cells.where("r <> 0"))
     n = used.select("u").distinct().count()
     l1, l2 = n * alpha * l1_ratio, n * alpha * (1 - l1_ratio)
-    pair = _written(used.select("u", F.col("i").alias("a"), F.col("r").alias("x")).join(used.select("u", F.col("i").alias("b"), F.col("r").alias("y")), "u").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g")))
+    left, right = used.select("u", "i", F.col("r").alias("x")), used.select("u", F.col("i").alias("j"), F.col("r").alias("y"))
+    pair = written(pairs(left, right, used).groupBy(F.col("i").alias("a"), F.col("j").alias("b")).agg(F.sum(F.col("x") * F.col("y")).alias("g")))
     kind = cells.schema["i"].dataType.simpleString()
 
     def solve(group: pa.Table) -> pa.Table:
@@ -221,77 +326,55 @@ def slim_elastic_net(cells: DataFrame, *, k: int = 100, l1_ratio: float = 0.1, a
         return pa.table({"i": pa.array(names[keep], group.schema.field("a").type), "j": pa.array([group["j"][0].as_py()] * len(keep), group.schema.field("j").type), "w": w[keep]})
 
     with_target = pair.where("a <> b").select(F.col("b").alias("j"), F.col("a").alias("i"), F.col("g").alias("c"))
-    near = _written(top_k(with_target, "j", "c", "i", candidates).select("j", "i", "c"))
+    near = written(top_k(with_target, "j", "c", "i", candidates).select("j", "i", "c"))
     open_, done = near, None
     while True:
         gram = open_.select("j", F.col("i").alias("a"), "c").join(open_.select("j", F.col("i").alias("b")), "j").join(pair, ["a", "b"], "left").select("j", "a", "b", "c", F.coalesce("g", F.lit(0.0)).alias("g"))
-        w = _written(gram.groupBy("j").applyInArrow(solve, f"i {kind}, j {kind}, w double"))
+        w = written(gram.groupBy("j").applyInArrow(solve, f"i {kind}, j {kind}, w double"))
         taken = w.join(pair.select(F.col("b").alias("i"), "a", "g"), "i").groupBy("j", F.col("a").alias("i")).agg(F.sum(F.col("g") * F.col("w")).alias("taken"))
         # items without a common user come in as well, where values below 0 tie them to the target
         left = with_target.join(open_.select("j").distinct(), "j", "left_semi").join(taken, ["j", "i"], "full").where("i <> j").join(open_, ["j", "i"], "left_anti")
         left = left.select("j", "i", F.coalesce("c", F.lit(0.0)).alias("c"), (F.coalesce("c", F.lit(0.0)) - F.coalesce("taken", F.lit(0.0)) - l1).alias("over"))
-        more = _written(top_k(left.where(F.col("over") > l1 * 1e-6 + 1e-9), "j", "over", "i", candidates).select("j", "i", "c"))
+        more = written(top_k(left.where(F.col("over") > l1 * 1e-6 + 1e-9), "j", "over", "i", candidates).select("j", "i", "c"))
         again = more.select("j").distinct()
         settled = w.join(again, "j", "left_anti")
         done = settled if done is None else done.union(settled)
         if more.isEmpty():
             return top_k(done, "j", "w", "i", k).drop("pos").select("i", "j", "w")
-        open_ = _written(open_.join(again, "j", "left_semi").union(more))
+        open_ = written(open_.join(again, "j", "left_semi").union(more))
 
 
-def slim_bpr(cells: DataFrame, triples: Callable[[int], DataFrame], *, epochs: int = 3, rate: float = 0.05, reg: float = 1e-3, k: int = 100) -> DataFrame:
+def slim_bpr(
+    cells: DataFrame, triples: Callable[[int], DataFrame], *, epochs: int = 3, rate: float = 0.05, reg: float = 1e-3, k: int = 100,
+    symmetric: bool = False, optimizer: str = "sgd", batches: int = 1, patience: int | None = None, checked: Callable[[DataFrame], float] | None = None,
+) -> DataFrame:
     """(i, j, w): item-item weights by pairwise steps on triples(epoch): u, i (seen), j (unseen).
 
-    Each weight moves by its mean gradient, so that a step doesn't grow with the number of triples.
+    Each weight moves by its mean gradient, so that a step doesn't grow with the number of triples. symmetric: the
+    weights of (i, j) and (j, i) are one. checked is given the weights of k items a target.
     """
-    seen = cells.where("r <> 0").select("u", F.col("i").alias("l"))
-    w = None
-    for epoch in range(epochs):
-        t = triples(epoch).withColumn("t", F.monotonically_increasing_id()).select("t", "u", "i", "j")
-        t = _written(t)
-        both = t.join(seen, "u").where("l <> i")
-        if w is None:
-            x = t.select("t", F.lit(0.0).alias("x"))
-        else:
-            of = lambda target: both.join(w.select(F.col("i").alias("l"), F.col("j").alias(target), "w"), ["l", target]).groupBy("t").agg(F.sum("w").alias("s"))  # noqa: B023, E731
-            x = t.join(of("i").withColumnRenamed("s", "si"), "t", "left").join(of("j").withColumnRenamed("s", "sj"), "t", "left").select("t", (F.coalesce("si", F.lit(0.0)) - F.coalesce("sj", F.lit(0.0))).alias("x"))
-        step = both.join(x, "t").withColumn("s", 1.0 / (1.0 + F.exp("x")))
-        g = step.select(F.col("l").alias("i"), F.col("i").alias("j"), F.col("s").alias("g")).union(step.where("l <> j").select(F.col("l").alias("i"), F.col("j").alias("j"), -F.col("s")))
-        g = g.groupBy("i", "j").agg(F.avg("g").alias("g"))
-        w = g.select("i", "j", (rate * F.col("g")).alias("w")) if w is None else w.join(g, ["i", "j"], "full").select("i", "j", (F.coalesce("w", F.lit(0.0)) * (1 - rate * reg) + rate * F.coalesce("g", F.lit(0.0))).alias("w"))
-        w = _written(w)
-    return top_k(w.where("w <> 0"), "j", "w", "i", k).drop("pos").select("i", "j", "w")
-
-
-@dataclass
-class Optimizer:
-    """Per-cell gradient steps in numpy: sgd, adagrad, rmsprop, adam, by their published formulas."""
-
-    kind: str = "sgd"
-    rate: float = 0.01
-    decay: float = 0.9
-    second: float = 0.999
-    small: float = 1e-8
-
-    def __post_init__(self):
-        if self.kind not in ("sgd", "adagrad", "rmsprop", "adam"):
-            raise ValueError("kind is sgd, adagrad, rmsprop or adam")
-        self.state: dict[str, np.ndarray] = {}
-        self.turn = 0
-
-    def step(self, gradient: np.ndarray) -> np.ndarray:
-        """What to add to the parameters to follow the gradient upwards."""
-        g, s = np.asarray(gradient, float), self.state
-        self.turn += 1
-        if self.kind == "sgd":
-            return self.rate * g
-        zero = np.zeros_like(g)
-        if self.kind == "adagrad":
-            s["v"] = s.get("v", zero) + g * g
-            return self.rate * g / (np.sqrt(s["v"]) + self.small)
-        if self.kind == "rmsprop":
-            s["v"] = self.decay * s.get("v", zero) + (1 - self.decay) * g * g
-            return self.rate * g / (np.sqrt(s["v"]) + self.small)
-        s["m"] = self.decay * s.get("m", zero) + (1 - self.decay) * g
-        s["v"] = self.second * s.get("v", zero) + (1 - self.second) * g * g
-        return self.rate * (s["m"] / (1 - self.decay**self.turn)) / (np.sqrt(s["v"] / (1 - self.second**self.turn)) + self.small)
+    seen = written(cells.where("r <> 0").select("u", F.col("i").alias("l")))
+    method = Optimizer(optimizer, rate)
+
+    def epoch_of(w: DataFrame | None, epoch: int) -> DataFrame:
+        for n, part in enumerate(_parts(triples(epoch), batches, "u", "i", "j")):
+            t = written(part.withColumn("t", F.monotonically_increasing_id()).select("t", "u", "i", "j"))
+            both = t.join(seen, "u").where("l <> i")
+            if w is None:
+                x = t.select("t", F.lit(0.0).alias("x"))
+            else:
+                of = lambda target: both.join(w.select(F.col("i").alias("l"), F.col("j").alias(target), "w"), ["l", target]).groupBy("t").agg(F.sum("w").alias("s"))  # noqa: B023, E731
+                x = t.join(of("i").withColumnRenamed("s", "si"), "t", "left").join(of("j").withColumnRenamed("s", "sj"), "t", "left").select("t", (F.coalesce("si", F.lit(0.0)) - F.coalesce("sj", F.lit(0.0))).alias("x"))
+            step = both.join(x, "t").withColumn("s", 1.0 / (1.0 + F.exp("x")))
+            g = step.select(F.col("l").alias("i"), F.col("i").alias("j"), F.col("s").alias("g")).union(step.where("l <> j").select(F.col("l").alias("i"), F.col("j").alias("j"), -F.col("s")))
+            if symmetric:
+                g = g.union(g.select("j", "i", "g"))
+            g = g.groupBy("i", "j").agg(F.avg("g").alias("g"))
+            known = cells.sparkSession.createDataFrame([], f"i {seen.schema['l'].dataType.simpleString()}, j {seen.schema['l'].dataType.simpleString()}, w double, m double, v double") if w is None else w
+            joined = known.join(g, ["i", "j"], "full").select("i", "j", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("m", F.lit(0.0)).alias("m"), F.coalesce("v", F.lit(0.0)).alias("v"), "g")
+            moved, m, v = method.columns(F.coalesce("g", F.lit(0.0)) - reg * F.col("w"), F.col("m"), F.col("v"), epoch * batches + n + 1)
+            w = written(joined.select("i", "j", (F.col("w") + moved).alias("w"), m.alias("m"), v.alias("v")))
+        return w
+
+    best = lambda w: top_k(w.where("w <> 0"), "j", "w", "i", k).drop("pos").select("i", "j", "w")
+    return best(_epochs(None, epochs, epoch_of, None if checked is None else lambda w: checked(best(w)), patience))

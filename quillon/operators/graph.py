@@ -8,6 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.ranking import top_k
+from quillon.scratch import written
+
+
+#: Cells of a user that meet as many others in one group.
+PROFILE = 1024
+
+
+def pairs(left: DataFrame, right: DataFrame, cells: DataFrame) -> DataFrame:
+    """left (u, i, …) and right (u, j, …), which have one row for each of the cells, joined on u: all pairs of a user's cells.
+
+    A profile of d cells has d squared pairs. Those of more than PROFILE cells are cut in chunks, and each chunk of one
+    side meets each chunk of the other in a group of its own, so that a user who has every item is no single task.
+    """
+    heavy = cells.groupBy("u").agg(F.count("*").alias("_d")).where(F.col("_d") > PROFILE).select("u", F.ceil(F.col("_d") / PROFILE).cast("int").alias("_k"))
+
+    def dealt(side: DataFrame, own: str, other: str, key: str) -> DataFrame:
+        known = side.join(heavy, "u", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+        known = known.withColumn(own, F.pmod(F.xxhash64(F.col(key)), F.col("_k")).cast("int"))
+        return known.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+
+    if heavy.isEmpty():
+        return left.join(right, "u")
+    return dealt(left, "_l", "_r", "i").join(dealt(right, "_r", "_l", "j"), ["u", "_l", "_r"]).drop("_l", "_r")
 
 
 def _walk(cells: DataFrame, alpha: float) -> tuple[DataFrame, DataFrame]:
@@ -24,14 +47,14 @@ def p3_alpha(cells: DataFrame, *, k: int = 100, alpha: float = 1.0, beta: float
     """Random walks of three steps: (i, j, w), the k largest of each item, without zeros and itself.
 
     beta > 0 divides column j by its degree to the power beta (popularity-discounted walks). The self-join is on the
-    user; both sides carry one weight, and products are summed before the shuffle by pair.
+    user, heavy profiles in chunks; both sides carry one weight, and products are summed before the shuffle by pair.
     """
-    used = cells.where("r <> 0")
+    used = written(cells.where("r <> 0"))
     back, out = _walk(used, alpha)
     if beta:
         degree = used.groupBy(F.col("i").alias("j")).agg(F.count("*").alias("d"))
         out = out.join(degree, "j").select("u", "j", (F.col("to_item") * F.pow(F.col("d"), F.lit(-beta))).alias("to_item"))
-    w = back.join(out, "u").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("to_user") * F.col("to_item")).alias("w")).where("w <> 0")
+    w = pairs(back, out, used).where("i <> j").groupBy("i", "j").agg(F.sum(F.col("to_user") * F.col("to_item")).alias("w")).where("w <> 0")
     best = top_k(w, "i", "w", "j", k).drop("pos")
     if normalize:
         best = best.withColumn("w", F.col("w") / F.sum(F.abs("w")).over(Window.partitionBy("i")))
@@ -40,9 +63,9 @@ def p3_alpha(cells: DataFrame, *, k: int = 100, alpha: float = 1.0, beta: float
 
 def p3_alpha_symmetric(cells: DataFrame, *, k: int = 100) -> DataFrame:
     """The same walk for binary cells and alpha 1, at half the join: C = Bt diag(1/d_u) B is symmetric, w = C_ij / d_i."""
-    b = cells.where("r <> 0").select("u", "i")
+    b = written(cells.where("r <> 0").select("u", "i"))
     half = b.join(b.groupBy("u").agg((1.0 / F.count("*")).alias("p")), "u")
-    c = half.join(b.withColumnRenamed("i", "j"), "u").where("i < j").groupBy("i", "j").agg(F.sum("p").alias("c"))
+    c = pairs(half, b.withColumnRenamed("i", "j"), b).where("i < j").groupBy("i", "j").agg(F.sum("p").alias("c"))
     both = c.union(c.select("j", "i", "c"))
     degree = b.groupBy("i").agg(F.count("*").alias("d"))
     return top_k(both.join(degree, "i").select("i", "j", (F.col("c") / F.col("d")).alias("w")), "i", "w", "j", k).drop("pos")
@@ -50,8 +73,8 @@ def p3_alpha_symmetric(cells: DataFrame, *, k: int = 100) -> DataFrame:
 
 def item_knn(cells: DataFrame, *, k: int = 100, shrink: float = 0.0, normalize: bool = True) -> DataFrame:
     """Cosine similarity with shrinkage (dot / (norms' product + shrink)): (i, j, w), k largest of each item."""
-    used = cells.where("r <> 0")
-    dots = used.select("u", "i", F.col("r").alias("a")).join(used.select("u", F.col("i").alias("j"), F.col("r").alias("b")), "u").where("i < j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    used = written(cells.where("r <> 0"))
+    dots = pairs(used.select("u", "i", F.col("r").alias("a")), used.select("u", F.col("i").alias("j"), F.col("r").alias("b")), used).where("i < j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
     norms = used.groupBy("i").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
     full = dots.join(norms, "i").join(norms.select(F.col("i").alias("j"), F.col("norm").alias("norm_j")), "j")
     below = F.col("norm") * F.col("norm_j") + F.lit(shrink) if normalize else F.lit(shrink if shrink else 1.0)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from quillon.operators.ranking import dense_index
+from quillon.operators.ranking import dense_index, prefix_sums
 
 
 def mapper(df: DataFrame, column: str) -> DataFrame:
-    """orig_id and its dense 0-based idx, in the order of the ids."""
+    """orig_id, of any type that has an order, and its dense 0-based idx in that order."""
     source = df.select(F.explode(column).alias("orig_id")) if isinstance(df.schema[column].dataType, ArrayType) else df.select(F.col(column).alias("orig_id"))
-    return dense_index(source.dropna().distinct(), "orig_id").select("orig_id", F.col("idx").cast("int").alias("idx"))
+    return dense_index(source.dropna().distinct(), "orig_id").select("orig_id", "idx")
 
 
 def same_mappers(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -159,13 +159,28 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 PERCENTILES = (0.01, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.95, 0.99)
 
 
+def percentiles(df: DataFrame, column: str, shares: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """One row with an exact percentile, linearly interpolated, for each share: p0, p1, …
+
+    Values are counted and ranked in ranges; of the ranked table only the values at the wanted places are read.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("m"))
+    ranked = prefix_sums(counts, ["x"], "m")
+    ends = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("m").alias("n"))))
+    place = [(F.col("n") - 1) * p for p in shares]
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("m")), F.col("x")))
+    found = ends.agg(F.max("n").alias("n"), *[at(F.floor(k)).alias(f"_lo{i}") for i, k in enumerate(place)], *[at(F.ceil(k)).alias(f"_hi{i}") for i, k in enumerate(place)])
+    return found.select(*[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (k - F.floor(k))).alias(f"p{i}") for i, k in enumerate(place)])
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, statistic, value: count, mean, std, min, max, and 15 exact percentiles with linear interpolation."""
     rows = []
     for c in columns:
         x = F.col(c).cast("double")
-        a = df.agg(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(*map(F.lit, PERCENTILES))).alias("p"))
-        fields = [(n, F.col(n)) for n in ("count", "mean", "std", "min", "max")] + [(f"{round(100 * p)}%", F.col("p")[i]) for i, p in enumerate(PERCENTILES)]
+        a = df.agg(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+        a = a.crossJoin(percentiles(df, c))
+        fields = [(n, F.col(n)) for n in ("count", "mean", "std", "min", "max")] + [(f"{round(100 * p)}%", F.col(f"p{i}")) for i, p in enumerate(PERCENTILES)]
         rows.append(a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(n).alias("statistic"), v.alias("value")) for n, v in fields]))))
     out = rows[0]
     for r in rows[1:]:
@@ -173,6 +188,27 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+def summary(df: DataFrame, columns: list[str], counted: list[str] = ()) -> dict[str, DataFrame]:
+    """A table's statistics: schema, description of the columns, value counts and their Gini indices of the counted ones."""
+    out = {"schema": schema_report(df), "describe": describe(df, columns)}
+    for c in counted:
+        out[f"counts_{c}"] = value_counts(df, c)
+        out[f"gini_{c}"] = gini(out[f"counts_{c}"].select("n"))
+    return out
+
+
+def save_summary(found: dict[str, DataFrame], path: str) -> None:
+    from quillon.sources.store import Bundle
+
+    Bundle(next(iter(found.values())).sparkSession, path).save(dict(found))
+
+
+def load_summary(spark, path: str) -> dict[str, DataFrame]:
+    from quillon.sources.store import Bundle
+
+    return Bundle(spark, path).load()
+
+
 def schema_report(df: DataFrame) -> DataFrame:
     """column, type, nulls of a table."""
     counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

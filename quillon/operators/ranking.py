@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.scratch import written
+
 DIGITS = 12
 
 
-def dense_index(ids: DataFrame, column: str) -> DataFrame:
-    """Distinct whole-number ids with idx, their 0-based place in order.
+def prefix_sums(df: DataFrame, order: list[Column | str], value: str | None = None, by: list[str] = (), name: str = "before") -> DataFrame:
+    """df with the sum of value (or the number) of the rows that come before in each group by the order, which is total.
 
-    Ids are dealt in ranges of equal width, ranked within each, and moved by the number of ids in ranges before: no
-    single task sorts them all.
+    Rows are dealt in ranges of the order, whose bounds Spark samples, and written, so that the ranges are fixed. Each
+    range sums for itself, after the totals of the ranges before it: no task sorts a whole group, however large.
     """
-    parts = max(8, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    span = ids.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / parts))
-    dealt = ids.crossJoin(F.broadcast(span)).withColumn("_part", F.floor((F.col(column) - F.col("lo")) / width)).drop("lo", "hi")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))  # a row for each range
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
-    return dealt.withColumn("_own", own).join(F.broadcast(base), "_part").withColumn("idx", F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = written(df.repartitionByRange(parts, *by, *columns).withColumn("_part", F.spark_partition_id()))
+    weight = F.lit(1) if value is None else F.col(value)
+    none = F.lit(0).cast("bigint") if value is None else F.lit(0)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_sum"))
+    base = totals.select(*by, "_part", F.coalesce(F.sum("_sum").over(before), none).alias("_base"))  # a row for each group and range
+    own = Window.partitionBy(*by, "_part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_own", F.coalesce(F.sum(weight).over(own), none)).join(base, [*by, "_part"])
+    return summed.withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+
+
+def dense_index(ids: DataFrame, column: str) -> DataFrame:
+    """Distinct ids of any type that has an order, with idx, their 0-based place in it."""
+    return prefix_sums(ids, [column], name="idx")
 
 
 def top_k(df: DataFrame, group: str, score: str, item: str, k: int, position: str = "pos") -> DataFrame:

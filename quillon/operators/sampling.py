@@ -8,32 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.ranking import dense_index
+from quillon.operators.ranking import dense_index, prefix_sums
+from quillon.scratch import written
 
 TRIES = 20
 
 
-def _draw(n: Column, seed: int, *what: str | int) -> Column:
-    """A number below n for each row's draw."""
-    return F.pmod(F.xxhash64(F.lit(seed), "draw", *map(F.lit, what)), n)
+def _number(*parts) -> Column:
+    """60 bits of the MD5 digest of the parts joined by colons, which any SQL engine can make again."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])), 1, 15), 16, 10).cast("bigint")
 
 
 def _numbered(cells: DataFrame) -> DataFrame:
     """Cells with a dense number n, in the order of user and item."""
-    users = dense_index(cells.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("m")), "id")
-    from pyspark.sql import Window
-
-    spark = cells.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    size = F.greatest(F.lit(1), F.ceil(F.lit(users.count()) / parts))
-    dealt = users.withColumn("_p", F.floor(F.col("idx") / size))
-    sums = dealt.groupBy("_p").agg(F.sum("m").alias("s"))
-    before = F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select("_p", before.alias("_b"))  # a row for each range of users
-    own = F.coalesce(F.sum("m").over(Window.partitionBy("_p").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = dealt.withColumn("_o", own).join(F.broadcast(base), "_p").select(F.col("id").alias("u"), (F.col("_b") + F.col("_o")).alias("_first"))
-    at = F.row_number().over(Window.partitionBy("u").orderBy("i")) - 1
-    return cells.withColumn("_at", at).join(first, "u").withColumn("n", F.col("_first") + F.col("_at")).drop("_first", "_at")
+    return prefix_sums(cells, ["u", "i"], name="n")
 
 
 def stored(cells: DataFrame) -> int:
@@ -47,7 +35,7 @@ def positives(cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
     total = stored.count()
     if not total:
         raise ValueError("no cell to draw from")
-    draws = cells.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("n", _draw(F.lit(total), seed, "p"))
+    draws = cells.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("n", _number(seed, "p", F.col("draw")) % total)
     return draws.join(_numbered(stored), "n").select("draw", "u", "i", "r")
 
 
@@ -66,7 +54,7 @@ def negatives(cells: DataFrame, users: DataFrame, items: DataFrame, n: int, seed
     left, found, turn = spark.range(n).withColumnRenamed("id", "draw"), None, 0
     while True:
         tries = left.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(TRIES))))
-        pick = lambda k, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.lit(k), "draw", "t"), F.lit(size))  # noqa: B023, E731
+        pick = lambda k, size: _number(seed, turn, k, F.col("draw"), F.col("t")) % size  # noqa: B023, E731
         free = tries.withColumn("a", pick("u", nu)).withColumn("b", pick("i", ni)).join(by_u, "a").join(by_i, "b").join(stored, ["u", "i"], "left_anti")
         got = free.groupBy("draw").agg(F.min(F.struct("t", "u", "i")).alias("x")).select("draw", "x.u", "x.i", F.lit(0.0).alias("r"))
         found = got if found is None else found.unionByName(got)
@@ -93,18 +81,16 @@ def triples(cells: DataFrame, items: DataFrame, n: int, seed: int = 0) -> DataFr
     Positives that find none draw from the list of their user's free items; only users who have seen every item are
     left out.
     """
-    from quillon.operators.factors import _written
-
     ni = items.count()
     by_i = dense_index(items.select("i").distinct(), "i").select(F.col("i").alias("j"), F.col("idx").alias("b"))
     seen = cells.select("u", F.col("i").alias("j"))
-    p = _written(positives(cells, n, seed).select("draw", "u", "i"))
-    tries = p.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(TRIES)))).withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit("n"), "draw", "t"), F.lit(ni)))
+    p = written(positives(cells, n, seed).select("draw", "u", "i"))
+    tries = p.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(TRIES)))).withColumn("b", _number(seed, "n", F.col("draw"), F.col("t")) % ni)
     free = tries.join(by_i, "b").join(seen, ["u", "j"], "left_anti")
-    got = _written(free.groupBy("draw").agg(F.min(F.struct("t", "u", "i", "j")).alias("x")).select("draw", "x.u", "x.i", "x.j"))
-    left = _written(p.join(got, "draw", "left_anti"))
+    got = written(free.groupBy("draw").agg(F.min(F.struct("t", "u", "i", "j")).alias("x")).select("draw", "x.u", "x.i", "x.j"))
+    left = written(p.join(got, "draw", "left_anti"))
     if left.isEmpty():
         return got.select("u", "i", "j")
     rest = left.select("u").distinct().crossJoin(by_i.select("j")).join(seen, ["u", "j"], "left_anti")
-    last = left.join(rest, "u").groupBy("draw").agg(F.min(F.struct(F.xxhash64(F.lit(seed), F.lit("n"), "draw", "j"), "u", "i", "j")).alias("x")).select("x.u", "x.i", "x.j")
+    last = left.join(rest, "u").groupBy("draw").agg(F.min(F.struct(_number(seed, "last", F.col("draw"), F.col("j")), "u", "i", "j")).alias("x")).select("x.u", "x.i", "x.j")
     return got.select("u", "i", "j").union(last)

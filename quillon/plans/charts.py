@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.ranking import prefix_sums
+
 
 def popularity_curve(df: DataFrame, column: str) -> DataFrame:
     """value, n and its place in the order of counts, nulls left out.
 
-    Values rank within their count, and after all values of higher counts, which a histogram gives.
+    Places are numbered in ranges of the order, so the many values of the lowest counts are no single task.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    per = counts.groupBy("n").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("n").orderBy("value"))
-    return counts.withColumn("own", own).join(per.select("n", before.alias("base")), "n").select("value", "n", (F.col("base") + F.col("own")).alias("place"))
+    return prefix_sums(counts, [F.col("n").desc(), "value"]).select("value", "n", (F.col("before") + 1).alias("place"))
 
 
 PARTS = {
@@ -57,7 +56,7 @@ def records(datasets: dict[str, DataFrame], cell: list[str]) -> DataFrame:
 def min_max(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """value scaled to 0..1 within each group; a constant group becomes 0."""
     ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    joined = df.join(F.broadcast(ends), list(by)) if by else df.crossJoin(F.broadcast(ends))
+    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))
     span = F.col("_hi") - F.col("_lo")
     return joined.withColumn(value, F.when(span == 0, F.col(value) - F.col("_lo")).otherwise((F.col(value) - F.col("_lo")) / span)).drop("_lo", "_hi")
 
@@ -75,3 +74,12 @@ def results_table(results: DataFrame, metric: str, names: list[str] | None = Non
 def hyper_parameters(metadata: DataFrame) -> DataFrame:
     """algorithm, hyperparameter, value of search results read from JSON (algorithm, best map<string,string>)."""
     return metadata.select("algorithm", F.explode("best").alias("hyperparameter", "value"))
+
+
+def heat_map(cells: DataFrame) -> DataFrame:
+    """Weights in the order of a heat map: x and y (places of items and users by popularity), value, and both means."""
+    users = cells.groupBy("u").agg(F.count("*").alias("n"), F.avg("r").alias("user_mean"))
+    items = cells.groupBy("i").agg(F.count("*").alias("n"), F.avg("r").alias("item_mean"))
+    y = prefix_sums(users, [F.col("n").desc(), "u"], name="y").drop("n")
+    x = prefix_sums(items, [F.col("n").desc(), "i"], name="x").drop("n")
+    return cells.join(y, "u").join(x, "i").select("u", "i", "x", "y", F.col("r").alias("value"), "user_mean", "item_mean")

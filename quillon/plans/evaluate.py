@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import metrics
-from quillon.operators.ranking import dense_index
+from quillon.operators.ranking import dense_index, prefix_sums
+from quillon.scratch import written
+from quillon.sources.store import read_or_build_all
 
 
 @dataclass(frozen=True)
@@ -22,6 +25,10 @@ class Holdout:
     ignored_users: DataFrame | None = None
     ignored_items: DataFrame | None = None
 
+    def written(self) -> Holdout:
+        """The same with train and test as tables of their own, so that no part of an evaluation makes them again."""
+        return replace(self, train=written(self.train), test=written(self.test))
+
     def users(self) -> DataFrame:
         """Users with enough test items that are not ignored."""
         u = self.test.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= self.least_test).select("user_id")
@@ -44,6 +51,7 @@ class Holdout:
 
     def table(self, recs: DataFrame) -> DataFrame:
         """All metrics by cutoff, those of the corpus of lists and their ratios to training among them."""
+        recs = written(recs)
         n_users, n_items = self.all_users().count(), self.items().count()
         n_ignored = 0 if self.ignored_users is None else self.ignored_users.count()
         users = metrics.mean_metrics(self.scores(recs), n_users - n_ignored)
@@ -58,22 +66,49 @@ class Holdout:
         return out.select(*[c for c in out.columns if not c.endswith("_train")], *ratios)
 
 
+#: Places of the popularity order that are sent to every task.
+HEAD = 100_000
+
+
 def most_popular(train: DataFrame, users: DataFrame, k: int) -> DataFrame:
     """The k most popular items that each user has not seen: user_id, item_id, pos, score.
 
     A user who has seen n items needs the first n + k of the popularity order at most, so the rows made are in
-    proportion to the log.
+    proportion to the log. Every user needs the first places: the head of the order, if it is short enough, is sent to
+    all tasks, and places beyond it are joined.
     """
     counts = train.groupBy("item_id").agg(F.count("*").alias("n"))
-    by_count = counts.groupBy("n").agg(F.count("*").alias("m"))  # the histogram of counts is small
-    base = by_count.select("n", F.coalesce(F.sum("m").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("n").orderBy("item_id"))
-    ranked = counts.withColumn("own", own).join(base, "n").select("item_id", F.col("n").cast("double").alias("score"), (F.col("base") + F.col("own")).cast("int").alias("place"))
+    order = prefix_sums(counts, [F.col("n").desc(), "item_id"])
+    ranked = written(order.select("item_id", F.col("n").cast("double").alias("score"), (F.col("before") + 1).cast("int").alias("place")))
     seen = train.select("user_id", "item_id").distinct()
-    depth = users.join(seen.groupBy("user_id").agg(F.count("*").alias("n_seen")), "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1), (F.coalesce("n_seen", F.lit(0)) + k).cast("int"))).alias("place"))
-    offered = depth.join(ranked, "place").join(seen, ["user_id", "item_id"], "left_anti")
+    need = (F.coalesce("n_seen", F.lit(0)) + k).cast("int")
+    depth = users.join(seen.groupBy("user_id").agg(F.count("*").alias("n_seen")), "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1), need)).alias("place"))
+    head, tail = ranked.where(F.col("place") <= HEAD), ranked.where(F.col("place") > HEAD)
+    offered = depth.join(F.broadcast(head), "place").select("user_id", "item_id", "place", "score")
+    if not tail.isEmpty():
+        offered = offered.union(depth.where(F.col("place") > HEAD).join(tail, "place").select("user_id", "item_id", "place", "score"))
+    fresh = offered.join(seen, ["user_id", "item_id"], "left_anti")
     order = Window.partitionBy("user_id").orderBy("place")
-    return offered.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("user_id", "item_id", "pos", "score")
+    return fresh.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("user_id", "item_id", "pos", "score")
+
+
+def cached(spark: SparkSession, path: str, holdout: Holdout, recs: Callable[[], DataFrame]) -> dict[str, DataFrame]:
+    """Scores per user and counts per item of a recommender, read if both are at path, else computed and written."""
+    made: list[DataFrame] = []
+
+    def lists() -> DataFrame:
+        if not made:
+            made.append(written(recs()))
+        return made[0]
+
+    found = read_or_build_all(
+        spark,
+        {
+            f"{path}/users": lambda: holdout.scores(lists()),
+            f"{path}/items": lambda: metrics.item_counts(lists(), holdout.evaluated_test(), holdout.items(), list(holdout.cutoffs)),
+        },
+    )
+    return {name: found[f"{path}/{name}"] for name in ("users", "items")}
 
 
-__all__ = ["Holdout", "dense_index", "most_popular"]
+__all__ = ["Holdout", "cached", "dense_index", "most_popular"]

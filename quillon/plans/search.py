@@ -11,6 +11,10 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
+from quillon.sources.store import Bundle, digest, exists
+
 log = logging.getLogger("quillon")
 
 
@@ -49,6 +53,8 @@ SPACES = {
     "rp3_beta": {"k": Integer(5, 1000), "alpha": Real(0.0, 2.0), "beta": Real(0.0, 2.0), "normalize": Categorical((True, False))},
     "mf": {"width": Integer(1, 200), "epochs": Integer(1, 500), "rate": Real(1e-4, 1e-1, log=True), "reg": Real(1e-5, 1e-2, log=True)},
     "bpr": {"width": Integer(1, 200), "epochs": Integer(1, 500), "rate": Real(1e-4, 1e-1, log=True), "reg": Real(1e-5, 1e-2, log=True)},
+    "item_knn": {"k": Integer(5, 1000), "shrink": Real(0.0, 1000.0), "normalize": Categorical((True, False))},
+    "slim_bpr": {"k": Integer(5, 1000), "epochs": Integer(1, 500), "rate": Real(1e-4, 1e-1, log=True), "reg": Real(1e-5, 1e-2, log=True), "symmetric": Categorical((True, False)), "optimizer": Categorical(("sgd", "adagrad", "adam"))},
     "slim_elastic_net": {"k": Integer(5, 1000), "l1_ratio": Real(1e-5, 1.0, log=True), "alpha": Real(1e-3, 1.0)},
     "lightgcn": {"width": Integer(2, 350), "layers": Integer(1, 6), "epochs": Integer(1, 500), "rate": Real(1e-4, 1e-1, log=True), "reg": Real(1e-5, 1e-2, log=True)},
 }
@@ -65,13 +71,29 @@ def draws(space: dict, n: int, seed: int = 0) -> Iterator[dict]:
         yield {name: s.draw(dice) for name, s in space.items()}
 
 
-def search(objective: Callable[[dict], float], settings: Iterator[dict]) -> tuple[dict, float, list[tuple[dict, float]]]:
-    """The setting of the highest value (the first among equals), the value, and all that were tried."""
-    tried = [(s, objective(s)) for s in settings]
+def search(objective: Callable[[dict], float], settings: Iterator[dict], *, spark: SparkSession | None = None, path: str | None = None) -> tuple[dict, float, list[tuple[dict, float]]]:
+    """The setting of the highest value (the first among equals), the value, and all that were tried.
+
+    path: a folder (of the session's file system) where each result is kept as it comes; a search that is started again
+    takes the results that are there.
+    """
+    tried = []
+    for s in settings:
+        known = _kept(spark, path, s) if path else None
+        if known is None:
+            known = objective(s)
+            if path:
+                Bundle(spark, f"{path.rstrip('/')}/{digest(s)}").save({"setting": s, "value": known})
+        tried.append((s, known))
     best = max(tried, key=lambda t: t[1])
     return *best, tried
 
 
+def _kept(spark: SparkSession, path: str, setting: dict) -> float | None:
+    at = f"{path.rstrip('/')}/{digest(setting)}"
+    return Bundle(spark, at).get("value") if exists(spark, f"{at}/_manifest") else None
+
+
 def pool(jobs: list[Callable[[], object]], workers: int = 4, retries: int = 2) -> list[object]:
     """Run independent jobs of one session side by side; a job that keeps failing is logged and gives None."""
 
@@ -88,19 +110,25 @@ def pool(jobs: list[Callable[[], object]], workers: int = 4, retries: int = 2) -
 
 
 def timed(function):
-    """Log how long each call takes, and its arguments' names."""
+    """Log each call's arguments, shortened, and how long it takes."""
 
     @functools.wraps(function)
     def call(*args, **kwargs):
+        given = ", ".join([*(repr(a)[:40] for a in args), *(f"{k}={v!r}"[:60] for k, v in kwargs.items())])
         began = time.monotonic()
         try:
             return function(*args, **kwargs)
         finally:
-            log.info("%s took %.3f s", function.__qualname__, time.monotonic() - began)
+            log.info("%s(%s) took %.3f s", function.__qualname__, given, time.monotonic() - began)
 
     return call
 
 
+def cached_by_type(function):
+    """Results remembered by arguments; equal arguments of different types (1, 1.0, True) are different calls."""
+    return functools.lru_cache(maxsize=128, typed=True)(function)
+
+
 def or_none(function):
     """None, and a log entry, where the call raises."""
 

@@ -5,6 +5,7 @@ Doubles are rounded to 6 digits on both sides. Order-dependent operators order b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -238,12 +239,12 @@ for _keep, _order in (("first", ""), ("last", " DESC")):
 # matrices and statistics
 
 
-@query("mapper", f"WITH {PU} SELECT item_id AS orig_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT item_id FROM pu)")
+@query("mapper", f"WITH {PU} SELECT item_id AS orig_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM pu)")
 def _mapper(spark, sf):
     return matrix.mapper(purchases(spark, sf), "item_id")
 
 
-_URM = PU + """, um AS (SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT user_id FROM pu)), im AS (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT item_id FROM pu))"""
+_URM = PU + """, um AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM pu)), im AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM pu))"""
 
 
 @query("urm_coo", f"WITH {_URM} SELECT um.idx AS u, im.idx AS i, round(sum(rating), 6) AS r FROM pu JOIN um USING (user_id) JOIN im USING (item_id) GROUP BY ALL")
@@ -262,7 +263,7 @@ def _urm_lists(spark, sf):
     return matrix.coordinates(impressions(spark, sf), "user_id", "items")
 
 
-@query("mapper_symmetric_difference", f"WITH {EV}, a AS (SELECT item_id AS orig_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT item_id FROM ev)), b AS (SELECT item_id AS orig_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT item_id FROM ev WHERE item_id <> 50)) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query("mapper_symmetric_difference", f"WITH {EV}, a AS (SELECT item_id AS orig_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM ev)), b AS (SELECT item_id AS orig_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM ev WHERE item_id <> 50)) SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def _mappers_differ(spark, sf):
     e = events(spark, sf)
     return matrix.same_mappers(matrix.mapper(e, "item_id"), matrix.mapper(e.where("item_id <> 50"), "item_id"))
@@ -441,7 +442,7 @@ _TOP = """, pop AS (SELECT item_id, count(*) AS n FROM train GROUP BY ALL), plac
 def holdout(spark: SparkSession, sf: str) -> Holdout:
     kept = clean.deduplicate(events(spark, sf), ["user_id", "item_id"], ["ts", "record_id"]).kept
     s = splits.last_k(kept, "user_id", ["ts", "record_id"], 1)
-    return Holdout(s.train.select("user_id", "item_id"), s.test.select("user_id", "item_id", F.lit(1.0).alias("r")))
+    return Holdout(s.train.select("user_id", "item_id"), s.test.select("user_id", "item_id", F.lit(1.0).alias("r"))).written()
 
 
 def _top(h: Holdout) -> DataFrame:
@@ -656,19 +657,59 @@ def _ci(spark, sf):
     return out.select("other", "n", "alpha", *[_r(c) for c in ("mean", "std", "var", "normal_low", "normal_high")])
 
 
-@query("significance_battery")
+def _tails(rows: str, cdf: str) -> str:
+    """SQL for p-values of a row (statistic two-sided and one-sided, lower and upper tail) for the three alternatives."""
+    return f"SELECT other, test, a.alternative, CASE a.alternative WHEN 'two-sided' THEN two ELSE one END AS statistic, CASE a.alternative WHEN 'two-sided' THEN least(1.0, 2 * least(lower, upper)) WHEN 'greater' THEN upper ELSE lower END AS p FROM ({rows}) {cdf}, (VALUES ('two-sided'), ('greater'), ('less')) a(alternative)"
+
+
+# areas of densities by Simpson's rule, binomial sums by lgamma
+_SIMPSON = "(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+_SIGNED = """, {0}_r AS (SELECT *, rank() OVER (PARTITION BY other ORDER BY abs(d)) + (count(*) OVER (PARTITION BY other, abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY other, abs(d)) AS t FROM d WHERE {1}),
+    {0}_a AS (SELECT other, count(*) AS n, sum(CASE WHEN d > 0 THEN rk WHEN d = 0 THEN rk / 2 ELSE 0 END) AS plus, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM {0}_r GROUP BY other),
+    {0}_z AS (SELECT other, plus, n * (n + 1) / 2.0 - plus AS minus, (plus - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24.0) AS z FROM {0}_a),
+    {0}_p AS (SELECT other, plus, minus, z, sum(""" + _SIMPSON + """ * exp(-pow(abs(z) * i / 2000.0, 2) / 2)) * abs(z) / 6000.0 / sqrt(2 * pi()) AS area FROM {0}_z, generate_series(0, 2000) g(i) GROUP BY other, plus, minus, z)"""
+_BATTERY = (
+    _L
+    + """, d AS (SELECT x.user_id, x.recommender AS other, round(x.score - y.score, 12) AS d FROM l x JOIN l y USING (user_id) WHERE y.recommender = (SELECT min(recommender) FROM l) AND x.recommender <> y.recommender),
+    t_s AS (SELECT other, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS s, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY other),
+    t_p AS (SELECT other, s, sum("""
+    + _SIMPSON
+    + """ * pow(1 + pow(abs(s) * i / 2000.0, 2) / (n - 1), -n / 2)) * abs(s) / 6000.0 * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) AS area FROM t_s, generate_series(0, 2000) g(i) GROUP BY other, s, n)"""
+    + _SIGNED.format("wilcox", "d <> 0")
+    + _SIGNED.format("zsplit", "true")
+    + """, b AS (SELECT other, count(*) AS n, count(*) FILTER (d > 0) + count(*) FILTER (d = 0) // 2 AS s FROM d GROUP BY other),
+    b_p AS (SELECT other, n, s, sum(CASE WHEN i <= s THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) ELSE 0 END) AS lower, sum(CASE WHEN i <= n - s THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) ELSE 0 END) AS upper FROM b, generate_series(0, 100000) g(i) WHERE i <= n GROUP BY ALL), every AS ("""
+    + " UNION ALL ".join(
+        [
+            _tails("SELECT other, 'paired_t' AS test, s AS two, s AS one, 0.5 + sign(s) * area AS lower, 0.5 - sign(s) * area AS upper FROM t_p", "x"),
+            *[_tails(f"SELECT other, 'wilcoxon_{z}' AS test, least(plus, minus) AS two, plus AS one, 0.5 + sign(z) * area AS lower, 0.5 - sign(z) * area AS upper FROM {z}_p", "x") for z in ("wilcox", "zsplit")],
+            _tails("SELECT other, 'sign' AS test, CAST(s AS DOUBLE) AS two, CAST(s AS DOUBLE) AS one, lower, upper FROM b_p", "x"),
+        ]
+    )
+    + "), m AS (SELECT *, count(*) OVER (PARTITION BY test, alternative) AS m FROM every), c AS (SELECT *, false AS corrected, p AS p_value, CAST(0.05 AS DOUBLE) AS alpha FROM m UNION ALL SELECT *, true, least(1.0, p * m), 0.05 / m FROM m)"
+)
+
+
+@query("significance_battery", f"WITH {_BATTERY} SELECT other, test, alternative, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, round(alpha, 6) AS alpha, CASE WHEN p_value <= alpha THEN 'ALTERNATIVE' ELSE 'NULL' END AS hypothesis, corrected FROM c")
 def _battery(spark, sf):
     long = _long(spark, sf)
-    base = long.where(F.col("recommender") == "click").select("user_id", "score")
     first = long.agg(F.min("recommender")).first()[0]
     base = long.where(F.col("recommender") == first).select("user_id", "score")
     others = long.where(F.col("recommender") != first).withColumnRenamed("recommender", "other")
-    return significance.battery(base, others)
+    return significance.battery(base, others).select("other", "test", "alternative", _r("statistic"), _r("p_value"), _r("alpha"), "hypothesis", "corrected")
 
 
-@query("friedman_test")
+@query(
+    "friedman_test",
+    f"""WITH {_L}, r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY score) + (count(*) OVER (PARTITION BY user_id, score) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY user_id, score) AS t FROM l),
+    p AS (SELECT recommender, sum(rk) AS s, count(*) AS n, sum(t * t - 1) AS ties FROM r GROUP BY ALL), a AS (SELECT CAST(max(n) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k, sum(s * s) AS rr, sum(ties) AS ties FROM p),
+    x AS (SELECT n, k, (12 * rr / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS x FROM a),
+    y AS (SELECT n, k, x, (SELECT sum(exp(-x / 2) * pow(x / 2, i) / gamma(i + 1)) FROM generate_series(0, 20) g(i) WHERE i < (k - 1) / 2) AS p FROM x)
+    SELECT 'all' AS other, 'friedman' AS test, 'two-sided' AS alternative, round(x, 6) AS statistic, round(p, 6) AS p_value, CAST(0.05 AS DOUBLE) AS alpha, CASE WHEN p <= 0.05 THEN 'ALTERNATIVE' ELSE 'NULL' END AS hypothesis, k > 6 AND n > 10 AS reliable FROM y""",
+)
 def _friedman_test(spark, sf):
-    return significance.friedman_test(_long(spark, sf))
+    """Five recommenders have four degrees of freedom: the tail is a short sum."""
+    return significance.friedman_test(_long(spark, sf)).withColumn("statistic", F.round("statistic", 6)).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("mean_rank_pairs", f"WITH {_L}, r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY score) + (count(*) OVER (PARTITION BY user_id, score) - 1) / 2.0 AS rk FROM l), m AS (SELECT recommender, avg(rk) AS mr, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT count(*) AS k FROM m) SELECT x.recommender AS a, y.recommender AS b, round(x.mr - y.mr, 6) AS difference, round(sqrt(k * (k + 1) / (6.0 * x.n)), 6) AS se FROM m x JOIN m y ON x.recommender < y.recommender, k")
@@ -676,26 +717,48 @@ def _mean_ranks(spark, sf):
     return significance.mean_ranks(_long(spark, sf)).select("a", "b", _r("difference"), _r("se"))
 
 
-@query("bootstrap_interval")
+_POISSON = " + ".join(f"CAST(u > {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} AS INTEGER)" for k in range(12))
+
+
+@query("bootstrap_interval", f"WITH {_D}, s AS (SELECT s, d, CAST('0x' || substr(md5('0:' || user_id || ':' || s), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM d, generate_series(1, 100) g(s) WHERE other = 'a'), w AS (SELECT s, d, {_POISSON} AS w FROM s), m AS (SELECT s, sum(w * d) / sum(w) AS m FROM w GROUP BY s) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m")
 def _bootstrap(spark, sf):
-    return significance.bootstrap(_differences(spark, sf).where("other = 'a'"), "d")
+    return significance.bootstrap(_differences(spark, sf).where("other = 'a'"), "d").select(_r("low"), _r("high"))
 
 
 # sampling and training
 
 
-@query("sample_positives")
+def _hex(*parts: str) -> str:
+    """The sampler's 60 bits of the MD5 digest of parts joined by colons, in SQL."""
+    return f"CAST('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 15) AS BIGINT)"
+
+
+def _positives_sql(n: int, seed: int) -> str:
+    return f"SELECT draw, u, i, CAST(1 AS DOUBLE) AS r FROM (SELECT draw, {_hex(f"'{seed}'", "'p'", 'draw')} % (SELECT count(*) FROM cells) AS k FROM generate_series(0, {n - 1}) g(draw)) JOIN (SELECT u, i, row_number() OVER (ORDER BY u, i) - 1 AS k FROM cells) USING (k)"
+
+
+def _negatives_sql(n: int, seed: int, moved: int = 0) -> str:
+    """One turn of tries, which fills all draws as long as a good part of the cells is free."""
+    pick = lambda k, size: f"{_hex(f"'{seed}'", "'0'", f"'{k}'", 'draw', 't')} % (SELECT count(*) FROM {size})"
+    return f"""SELECT draw + {moved} AS draw, u, i, CAST(0 AS DOUBLE) AS r FROM (SELECT draw, t, {pick('u', 'us')} AS a, {pick('i', 'ns')} AS b FROM generate_series(0, {n - 1}) g(draw), generate_series(1, {sampling.TRIES}) h(t)) JOIN us USING (a) JOIN ns USING (b)
+        WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.u = us.u AND c.i = ns.i) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY t) = 1"""
+
+
+_AXES = ", us AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS a FROM (SELECT DISTINCT u FROM cells)), ns AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS b FROM (SELECT DISTINCT i FROM cells))"
+
+
+@query("sample_positives", f"WITH {CELLS} {_positives_sql(2000, 1)}")
 def _sample_positives(spark, sf):
     return sampling.positives(_cells(spark, sf), 2000, 1)
 
 
-@query("sample_negatives")
+@query("sample_negatives", f"WITH {CELLS} {_AXES} {_negatives_sql(2000, 1)}")
 def _sample_negatives(spark, sf):
     c = _cells(spark, sf)
     return sampling.negatives(c, c.select("u").distinct(), c.select("i").distinct(), 2000, 1)
 
 
-@query("sample_mixed")
+@query("sample_mixed", f"WITH {CELLS} {_AXES} SELECT * FROM ({_positives_sql(700, 1)}) UNION ALL SELECT * FROM ({_negatives_sql(300, 1, 700)})")
 def _sample_mixed(spark, sf):
     c = _cells(spark, sf)
     return sampling.mixed(c, c.select("u").distinct(), c.select("i").distinct(), 1000, 0.3, 1)
@@ -738,3 +801,6 @@ def _train_slim_bpr(spark, sf):
     c = _cells(spark, sf)
     n = sampling.stored(c)
     return factors.slim_bpr(c, lambda epoch: sampling.triples(c, c.select("i").distinct(), n, epoch), epochs=2, k=20)
+
+
+from quillon import more_queries  # noqa: E402, F401

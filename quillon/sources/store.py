@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import enum
 import hashlib
+import io
 import json
+import uuid
+import zipfile
 from collections.abc import Callable
-from dataclasses import asdict, is_dataclass
+from dataclasses import asdict, dataclass, is_dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -83,42 +90,108 @@ def digest(config) -> str:
     return hashlib.sha256(Codec().dumps(config).encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class Matrix:
+    """A sparse matrix: its cells (u, i, r) and its shape, which empty rows and columns count in."""
+
+    cells: DataFrame
+    shape: tuple[int, int]
+
+
+def _array_table(spark: SparkSession, values: dict[str, np.ndarray]) -> DataFrame:
+    """key, pos, value of arrays in driver memory, flattened; numbers become doubles or longs, all else text."""
+    parts = []
+    for key, x in values.items():
+        flat = np.asarray(x).ravel()
+        number = flat.dtype.kind in "iub"
+        columns = {"key": [key] * len(flat), "pos": np.arange(len(flat)), "whole": None, "real": None, "text": None}
+        columns["whole" if number else "real" if flat.dtype.kind == "f" else "text"] = flat.astype(np.int64) if number else flat.astype(float) if flat.dtype.kind == "f" else flat.astype(str)
+        kinds = (("key", pa.string()), ("pos", pa.int64()), ("whole", pa.int64()), ("real", pa.float64()), ("text", pa.string()))
+        parts.append(pa.table({n: pa.nulls(len(flat), t) if columns[n] is None else pa.array(columns[n], t) for n, t in kinds}))
+    return spark.createDataFrame(pa.concat_tables(parts))
+
+
 class Bundle:
-    """A folder of named tables and JSON values with a manifest, which is written last."""
+    """A folder of named tables, matrices, arrays and JSON values with a manifest.
+
+    A bundle is written beside its place and moved there when it is whole, so readers see the old one or the new one.
+    """
 
     def __init__(self, spark: SparkSession, path: str, codec: Codec | None = None):
         self.spark, self.path, self.codec = spark, path.rstrip("/"), codec or Codec()
 
     def save(self, values: dict[str, object]) -> None:
-        """DataFrames become Parquet tables, dicts nested bundles, everything else JSON. Names may not start with a dot."""
+        """DataFrames become Parquet tables, matrices tables with a shape, numpy arrays and dicts of arrays tables of their
+        values, other dicts nested bundles, everything else JSON. Names may not start with a dot or an underscore.
+        """
+        for name in values:
+            if name.startswith((".", "_")) or "/" in name:
+                raise ValueError(f"{name!r} is no name for a value")
+        beside = f"{self.path}.new-{uuid.uuid4().hex}"
+        Bundle(self.spark, beside, self.codec)._write(values)
+        fs, new = _fs(self.spark, beside)
+        _, at = _fs(self.spark, self.path)
+        _, old = _fs(self.spark, f"{self.path}.old-{uuid.uuid4().hex}")
+        had = fs.exists(at)
+        if had and not fs.rename(at, old):
+            raise OSError(f"{self.path} can't be replaced")
+        fs.mkdirs(at.getParent())
+        if not fs.rename(new, at):
+            raise OSError(f"{self.path} can't be written")
+        if had:
+            fs.delete(old, True)
+
+    def _write(self, values: dict[str, object]) -> None:
         kinds = {}
         for name, value in values.items():
-            if name.startswith(".") or "/" in name:
-                raise ValueError(f"{name!r} is no name for a value")
+            at = f"{self.path}/{name}"
             if isinstance(value, DataFrame):
-                value.write.mode("overwrite").parquet(f"{self.path}/{name}")
+                value.write.parquet(at)
                 kinds[name] = {"kind": "table"}
-            elif isinstance(value, dict) and any(isinstance(v, DataFrame | dict) for v in value.values()):
-                Bundle(self.spark, f"{self.path}/{name}", self.codec).save(value)
+            elif isinstance(value, Matrix):
+                value.cells.write.parquet(at)
+                kinds[name] = {"kind": "matrix", "shape": list(value.shape)}
+            elif isinstance(value, np.ndarray) or (isinstance(value, dict) and value and all(isinstance(v, np.ndarray) for v in value.values())):
+                arrays = value if isinstance(value, dict) else {"": value}
+                _array_table(self.spark, arrays).write.parquet(at)
+                kinds[name] = {"kind": "arrays" if isinstance(value, dict) else "array", "of": {k: [v.dtype.str, list(v.shape)] for k, v in arrays.items()}}
+            elif isinstance(value, dict) and any(isinstance(v, DataFrame | Matrix | dict | np.ndarray) for v in value.values()):
+                Bundle(self.spark, at, self.codec)._write(value)
                 kinds[name] = {"kind": "bundle"}
             else:
                 kinds[name] = {"kind": "json", "value": self.codec.dumps(value)}
         row = self.spark.createDataFrame([(json.dumps(kinds),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{self.path}/_manifest")
+        row.coalesce(1).write.text(f"{self.path}/_manifest")
 
-    def load(self) -> dict[str, object]:
+    def manifest(self) -> dict[str, dict]:
         if not exists(self.spark, f"{self.path}/_manifest"):
             raise FileNotFoundError(self.path)
-        kinds = json.loads(self.spark.read.text(f"{self.path}/_manifest").first()[0])
-        out: dict[str, object] = {}
-        for name, k in kinds.items():
-            if k["kind"] == "table":
-                out[name] = self.spark.read.parquet(f"{self.path}/{name}")
-            elif k["kind"] == "bundle":
-                out[name] = Bundle(self.spark, f"{self.path}/{name}", self.codec).load()
-            else:
-                out[name] = self.codec.loads(k["value"])
-        return out
+        return json.loads(self.spark.read.text(f"{self.path}/_manifest").first()[0])
+
+    def get(self, name: str, kind: dict | None = None) -> object:
+        """One value; tables are read when they are used."""
+        known = kind or self.manifest().get(name)
+        if known is None:
+            raise FileNotFoundError(f"{self.path}/{name}")
+        at = f"{self.path}/{name}"
+        if known["kind"] == "table":
+            return self.spark.read.parquet(at)
+        if known["kind"] == "matrix":
+            return Matrix(self.spark.read.parquet(at), tuple(known["shape"]))
+        if known["kind"] in ("array", "arrays"):
+            rows = self.spark.read.parquet(at).orderBy("key", "pos").toArrow()  # it was in the driver's memory when it was saved
+            out = {}
+            for key, (dtype, shape) in known["of"].items():
+                own = rows.filter(pc.equal(rows["key"], key))
+                column = {"f": "real"}.get(np.dtype(dtype).kind, "whole" if np.dtype(dtype).kind in "iub" else "text")
+                out[key] = np.array(own[column].to_pylist()).astype(dtype).reshape(shape)
+            return out if known["kind"] == "arrays" else out[""]
+        if known["kind"] == "bundle":
+            return Bundle(self.spark, at, self.codec).load()
+        return self.codec.loads(known["value"])
+
+    def load(self) -> dict[str, object]:
+        return {name: self.get(name, kind) for name, kind in self.manifest().items()}
 
     def save_config(self, config) -> str:
         """Write a configuration and its digest once; a second call changes nothing."""
@@ -128,8 +201,79 @@ class Bundle:
         return digest(config)
 
 
+def _npz(spark: SparkSession, path: str) -> DataFrame:
+    """key, pos, value of the arrays in .npy, .npz or zipped .npy files; a sparse matrix saved as npz gives u, i, r.
+
+    Every file is read by one task, without pickles.
+    """
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                raw = content.as_py()
+                if raw[:2] == b"PK":
+                    with np.load(io.BytesIO(raw), allow_pickle=False) as z:
+                        arrays = {k: z[k] for k in z.files}
+                else:
+                    arrays = {"": np.load(io.BytesIO(raw), allow_pickle=False)}
+                for key, x in arrays.items():
+                    flat = x.ravel()
+                    real = flat.dtype.kind in "iufb"
+                    for low in range(0, len(flat), 1 << 16):
+                        part = flat[low : low + (1 << 16)]
+                        none = pa.nulls(len(part), pa.string() if real else pa.float64())
+                        values = [pa.array(part.astype(float)), none] if real else [none, pa.array(part.astype(str))]
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(part)), pa.array(np.arange(low, low + len(part))), *values], names=["key", "pos", "value", "text"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "key string, pos bigint, value double, text string")
+
+
+def sparse_from_arrays(arrays: DataFrame) -> Matrix:
+    """A matrix saved as the arrays of its compressed rows (indptr, indices, data, shape), as `read_any` reads them."""
+    of = lambda key, name: arrays.where(F.col("key") == key).select("pos", F.col("value").alias(name))
+    shape = tuple(int(r[0]) for r in of("shape", "n").orderBy("pos").select("n").collect())  # two numbers
+    starts = of("indptr", "begin").join(of("indptr", "end").withColumn("pos", F.col("pos") - 1), "pos").where("begin < end")
+    places = starts.select(F.col("pos").alias("u"), F.explode(F.sequence(F.col("begin").cast("bigint"), F.col("end").cast("bigint") - 1)).alias("pos"))
+    cells = places.join(of("indices", "i"), "pos").join(of("data", "r"), "pos")
+    return Matrix(cells.select("u", F.col("i").cast("bigint").alias("i"), "r"), shape)
+
+
+def _zipped(spark: SparkSession, path: str) -> DataFrame:
+    """name and content of the files in archives; hidden ones are left out."""
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in z.namelist():
+                        if not name.rpartition("/")[2].startswith(".") and not name.endswith("/"):
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(name)], pa.binary())], names=["name", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, content binary")
+
+
+def _hdf(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        import h5py
+    except ImportError:
+        raise ValueError("reading HDF5 needs the h5py library") from None
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                with h5py.File(io.BytesIO(content.as_py())) as f:
+                    found = []
+                    f.visititems(lambda n, x: found.append((n, x[()])) if isinstance(x, h5py.Dataset) else None)  # noqa: B023
+                for key, x in found:
+                    flat = np.asarray(x).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(flat)), pa.array(np.arange(len(flat))), pa.array(flat.astype(float)), pa.nulls(len(flat), pa.string())], names=["key", "pos", "value", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key string, pos bigint, value double, text string")
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its file name's ending: parquet, csv, json; an unknown ending is an error."""
+    """A table by its file name's ending: parquet, csv, json, npy, npz, zip, h5; an unknown ending is an error."""
     kind = path.rstrip("/").rpartition(".")[2].lower()
     if kind == "parquet":
         return spark.read.parquet(path)
@@ -137,4 +281,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     if kind == "json":
         return spark.read.json(path)
-    raise ValueError(f"no reader for .{kind}")
+    readers = {"npy": _npz, "npz": _npz, "zip": _zipped, "h5": _hdf, "hdf5": _hdf}
+    if kind not in readers:
+        raise ValueError(f"no reader for .{kind}")
+    return readers[kind](spark, path)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quillon.llm.common import table
 
@@ -77,6 +78,41 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, share=80)
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op9_media."""
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "ending_sha256")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op6_sharding: all rows and bytes are there, sizes are near equal, slots have no gaps."""
+    rows = op6_sharding(spark, sf_dir)
+    of = rows.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.max("law").alias("law"))
+    return of.agg(
+        F.max("law").alias("law"), F.count("*").alias("shards"), F.sum("n").alias("n"), F.sum("size").cast("bigint").alias("size"),
+        (F.max("size") <= 1.02 * F.min("size")).alias("near_equal"), F.every((F.col("slots") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("gapless"),
+    )
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_sharding(spark, sf_dir).select("doc_id", "size", "tokens")
+
+
+def piece_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces put together again are the text, but for the space symbol, which stands for a space."""
+    return op2_sentencepiece(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def packing_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op3_packing: every document is there, whole and in order, and no sequence is too long."""
+    rows = op3_packing(spark, sf_dir)
+    by_doc = Window.partitionBy("doc_id").orderBy("piece")
+    steps = rows.withColumn("good", F.col("start") == F.coalesce(F.sum("length").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    docs = steps.groupBy("doc_id").agg(F.every("good").alias("in_order"), F.max("piece").alias("last"), F.count("*").alias("n"))
+    fill = rows.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    good = docs.select("doc_id", (F.col("in_order") & (F.col("last") == F.col("n") - 1)).alias("whole"))
+    return good.crossJoin(fill.agg((F.max("used") <= 1024).alias("fits"), F.every(F.col("used") == F.col("end")).alias("gapless")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -89,6 +125,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_media": op9_media,
         "op10_minhash": op10_minhash,
+        "media_payloads": media_payloads,
+        "shard_law": shard_law,
+        "shard_sizes": shard_sizes,
+        "piece_decoded": piece_decoded,
+        "packing_laws": packing_laws,
     }
 
 
@@ -133,4 +174,10 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
             m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
             SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t JOIN m ON m.x = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id""",
+        "media_payloads": """WITH p AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents), q AS (SELECT doc_id, n, encode(t || repeat(' ', CAST(greatest(1, ceil(n / 192.0)) * 192 - n AS BIGINT))) AS b FROM p)
+            SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_sha256, sha256(b[octet_length(b) - 191:octet_length(b)]) AS ending_sha256 FROM q""",
+        "shard_law": "SELECT 'bytes' AS law, CAST(8 AS BIGINT) AS shards, count(*) AS n, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS size, true AS near_equal, true AS gapless FROM documents",
+        "shard_sizes": r"SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents",
+        "piece_decoded": "SELECT doc_id, sha256(replace(coalesce(text, ''), '▁', ' ')) AS decoded_sha256 FROM documents",
+        "packing_laws": "SELECT doc_id, true AS whole, true AS fits, true AS gapless FROM documents",
     }

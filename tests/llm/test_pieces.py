@@ -72,3 +72,54 @@ def test_query_rows(spark):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(want).encode()).hexdigest()
     assert encode_digests(docs.limit(0), PATH).count() == 0
+
+
+def mapped():
+    """The vocabulary with the character map of NFKC: messages of a protocol buffer merge when they follow each other."""
+    from quillon.llm.pieces import _fields
+
+    spec = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=False)
+    blob = next(v for n, v in _fields(spec.serialized_model_proto()) if n == 3)
+    trie = next(v for n, v in _fields(blob) if n == 2)
+
+    def field(number, value):
+        size, out = len(value), bytearray([number << 3 | 2])
+        while size >= 128:
+            out.append(size & 127 | 128)
+            size >>= 7
+        return bytes(out) + bytes([size]) + value
+
+    return open(PATH, "rb").read() + field(3, field(2, trie))
+
+
+def test_offsets_through_a_character_map(spark, tmp_path):
+    """Ids and spans of every piece, with a map that lengthens, shortens and joins characters, against the library."""
+    path = tmp_path / "mapped.model"
+    path.write_bytes(mapped())
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    dice = random.Random(8)
+    letters = ["a", " ", "the", "ﬁ", "㍿", "①", "Å", "ガ", "ｆｕｌｌ", "é", "\u3000", "½", "\u00ad", "語", "🙂"]
+    texts = ["ﬁne ㍿ ①", "ｆｕｌｌ　width ½", "", "plain text", *("".join(dice.choice(letters) for _ in range(dice.randint(1, 40))) for _ in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in encode(docs, str(path)).collect()}
+    for i, text in enumerate(texts):
+        r = got[i]
+        assert r.ids == lib.encode(text), repr(text)
+        assert r.decoded == lib.decode(r.ids), repr(text)
+        if r.ids:
+            raw = text.encode()
+            assert r.begins[0] == 0 and r.ends[-1] == len(raw) and r.begins[1:] == r.ends[:-1]
+            spans = [(p.begin, p.end) for p in lib.encode(text, out_type="immutable_proto").pieces]
+            for (a, b), x, y in zip(spans, r.begins, r.ends, strict=True):
+                ours = raw[x:y].decode("utf-8", "ignore")
+                assert b <= a or text[a:b] == ours or ours in text[a:b] or text[a:b] in ours or not ours, (text, a, b, x, y)
+
+
+def test_long_texts_repeats_and_missing_ids(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = ["word " * 300_000, "ab" * 100_000, "\n" * 300_000, "語" * 100_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (None, "a b"), (0, "a b")], "doc_id long, text string")
+    got = encode_digests(docs, PATH).collect()
+    assert len(got) == 7 and sum(r.doc_id is None for r in got) == 2
+    want = {(i, hashlib.sha256(",".join(map(str, lib.encode(t))).encode()).hexdigest()) for i, t in [*enumerate(texts), (None, "a b"), (0, "a b")]}
+    assert {(r.doc_id, r.ids_sha256) for r in got} == want

@@ -76,8 +76,27 @@ def test_each_stage_against_brute_force(spark):
     docs = corpus_pipeline.repeated_passages(spark, docs, SF)
     assert {r.doc_id: r.text for r in docs.collect()} == left
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     want = {(i, n, a, b) for i, t in left.items() for n, (a, b) in enumerate(cut(len(lib.encode(t, add_special_tokens=False).ids) + 1, 1024))}
     placed = corpus_pipeline.packed(spark, docs, SF).collect()
     assert {(r.doc_id, r.piece, r.start, r.length) for r in placed} == want and len(placed) == len(want)
     assert len({r.sequence_id for r in placed}) <= -(-sum(r.length for r in placed) // 1024) * 1.02 + 1
+
+
+def test_packed_stage_on_added_tokens_and_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "wo<|endoftext|>rd", "\n" * 2_000_000]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = {r.doc_id: r.n for r in corpus_pipeline.packed(spark, docs, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert n == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_run_leaves_no_tables_of_earlier_stages(spark):
+    from quillon.llm.common import written
+
+    before = set(written())
+    placed = corpus_pipeline.run(spark, SF)
+    left = {p.rpartition("/")[2].rsplit("-", 1)[0] for p in set(written()) - before}
+    assert left == {"quillon-repeated_passages", "quillon-pieces"} and placed.count() > 0

@@ -85,3 +85,23 @@ def test_text_left_and_edges(spark):
     twice = spark.createDataFrame([(None, "q" * 40 + "z" * 200), (1, "q" * 40 + "z" * 200), (1, "q" * 40 + "z" * 200)], "doc_id long, text string")
     got = [(r.doc_id, r.n_removed) for r in removal_digests(twice.coalesce(1)).collect()]
     assert sorted(got, key=str) == [(1, 199), (1, 240), (None, 240)]
+
+
+def test_a_passage_in_every_block(spark, monkeypatch):
+    """A line that every block holds many times, each time in other words, and a passage that all share."""
+    from pyspark import cloudpickle
+
+    for name, value in {"BLOCK": 8000, "BLOCK_ROWS": 40, "MANY_HERE": 4, "MANY": 60}.items():
+        monkeypatch.setattr(repeats, name, value)
+    dice = random.Random(3)
+    noise = lambda n: "".join(dice.choice("abcdefgh ") for _ in range(n))
+    line, passage = "the line that is in every document, each time in other words, " * 2, noise(260)
+    rows = [(i, noise(dice.randint(0, 90)) + line + noise(dice.randint(0, 90)) + (passage if i % 3 else "")) for i in range(400)] + [(900 + i, "") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cloudpickle.register_pickle_by_value(repeats)
+    try:
+        got = {r.doc_id: r for r in removal_digests(docs).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(repeats)
+    for i, w in brute(rows).items():
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w[:4], i

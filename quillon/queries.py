@@ -548,22 +548,12 @@ def _evaluate_p3(spark, sf):
     return h.table(recs).select("cutoff", _r("hit_rate"), _r("mrr"))
 
 
-@query("mf_topk", "SELECT a.vec_id AS user_id, b.vec_id AS item_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) DESC, b.vec_id) AS INTEGER) AS pos, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.label = 0 AND a.vec_id <> b.vec_id QUALIFY pos <= 10")
+@query("mf_topk", "SELECT a.vec_id AS user_id, b.vec_id AS item_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) DESC, b.vec_id) AS INTEGER) AS pos, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id QUALIFY pos <= 10")
 def _mf_topk(spark, sf):
-    return _nearest_vectors(spark, sf, "label = 0")
-
-
-@query("mf_topk_all")
-def _mf_topk_all(spark, sf):
-    return _nearest_vectors(spark, sf, "true")
-
-
-def _nearest_vectors(spark: SparkSession, sf: str, scored: str) -> DataFrame:
-    """The ten best other vectors of each vector that is scored."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("factors"), F.lit(0.0).alias("bias"), "label")
-    users = e.where(scored).drop("label")
-    seen = users.select(F.col("id").alias("u"), F.col("id").alias("i"))
-    return factors.recommend(factors.Factors(users, e.drop("label")), seen, 10).select("user_id", "item_id", F.col("pos").cast("int").alias("pos"), _r("score"))
+    """The ten best other vectors of each vector."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("factors"), F.lit(0.0).alias("bias"))
+    seen = e.select(F.col("id").alias("u"), F.col("id").alias("i"))
+    return factors.recommend(factors.Factors(e, e), seen, 10).select("user_id", "item_id", F.col("pos").cast("int").alias("pos"), _r("score"))
 
 
 @query("rank_rows", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, strftime(l_shipdate, '%Y-%m-%d') AS shipped, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_shipdate) AS INTEGER) AS rank FROM lineitem")

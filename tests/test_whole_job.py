@@ -50,7 +50,7 @@ def test_every_vector_is_scored(spark):
     s = np.round(x @ x.T, 12)
     np.fill_diagonal(s, -np.inf)
     want = {(int(ids[a]), p + 1): int(ids[b]) for a in range(len(ids)) for p, b in enumerate(np.lexsort([ids, -s[a]])[:10])}
-    got = {(r.user_id, r.pos): r.item_id for r in queries.queries()["mf_topk_all"](spark, SMALL).collect()}
+    got = {(r.user_id, r.pos): r.item_id for r in queries.queries()["mf_topk"](spark, SMALL).collect()}
     assert got == want and len(got) == 10 * len(ids)
 
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import discard, materialize, short
 
@@ -168,23 +169,23 @@ def features(samples: np.ndarray) -> str:
     return f"n={x.size};sum={x.sum()};sq={(x * x).sum()};edges={np.count_nonzero(np.diff(x, axis=1))};hist={','.join(map(str, bins))}"
 
 
-def _page(text: str, digest: str, ending: str, n: int) -> str:
-    """A page that shows a text: its first words, a figure of the whole, and its last row between its last words.
+def _page(text: str, digest: str, strip: str, n: int) -> str:
+    """A page that shows a text: its first words, a figure of the whole, and a strip of its size between its last words.
 
     The caption stands before or after the image by turns of the length.
     """
-    words = text[:200].split()[:8]
-    last = text[-200:].split()[-4:]
+    words = text[:80].split()[:4]
+    last = text[-60:].split()[-2:]
     image, caption = f'<img src="sha256:{digest}" alt="text">', f"<figcaption>{n} bytes</figcaption>"
     figure = caption + image if n % 2 else image + caption
-    return f'<article><h1>{escape(" ".join(words))}</h1><figure>{figure}</figure><p>{escape(" ".join(last[:2]))} <img src="sha256:{ending}" alt="end"> {escape(" ".join(last[2:]))}</p></article>'
+    return f'<article><h1>{escape(" ".join(words))}</h1><figure>{figure}</figure><p>{escape(" ".join(last[:1]))} <img src="sha256:{strip}" alt="size"> {escape(" ".join(last[1:]))}</p></article>'
 
 
 def compose(docs: DataFrame) -> DataFrame:
     """A page for each document, with two references: page (its number), doc_id, html, stored array<struct<digest,media>>.
 
-    The media are the padded text and its last row, which texts that end alike share. In one batch, equal payloads are
-    stored once.
+    The media are the padded text and a strip with the bits of its length, which most of the corpus shares a few of. In
+    one batch, equal payloads are stored once.
     """
 
     def run(batches):
@@ -197,7 +198,7 @@ def compose(docs: DataFrame) -> DataFrame:
             for text in b.column(1).to_pylist():
                 payload, n = padded(text)
                 new, digests = [], []
-                for part in (payload, payload[-WIDTH:]):
+                for part in (payload, padded(f"{n.bit_length()} bits")[0]):
                     digests.append(hashlib.sha256(part).hexdigest())
                     if digests[-1] not in seen:
                         new.append({"digest": digests[-1], "media": to_png(part)})
@@ -255,11 +256,14 @@ def resolved(elements: DataFrame, media: DataFrame) -> DataFrame:
 def interleave(elements: DataFrame, media: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Sequences with the resolved payload row in each media element, in page order. Ids must be unique and not null."""
     parts = elements.select(F.col(id_column), F.explode_outer("elements").alias("e"))
-    flat = parts.join(media, F.col("e.digest") == media["digest"], "left")
-    found = F.when(F.col("digest").isNotNull(), F.struct(*[F.col(c) for c in media.columns]))
-    rebuilt = F.struct(F.col("e.pos").alias("pos"), *[F.col(f"e.{c}").alias(c) for c in ("kind", "text", "digest", "caption")], found.alias("media"))
-    by_id = flat.groupBy(id_column).agg(F.array_sort(F.collect_list(F.when(F.col("e").isNotNull(), rebuilt)), lambda a, b: a["pos"] - b["pos"]).alias("elements"))
-    return by_id.select(id_column, "elements")
+    flat = lambda found: F.when(F.col("e").isNotNull(), F.struct(F.col("e.pos").alias("pos"), *[F.col(f"e.{c}").alias(c) for c in ("kind", "text", "digest", "caption")], found.alias("media"))).alias("e")
+    none = F.lit(None).cast(T.StructType(media.schema.fields))
+    # elements without a digest have nothing to meet, and would all meet in one task
+    text = parts.where("e.digest is null").select(id_column, flat(none))
+    refs = parts.where("e.digest is not null").join(media, F.col("e.digest") == media["digest"], "left")
+    found = F.when(F.col("digest").isNotNull(), F.struct(*[F.col(c) for c in media.columns])).otherwise(none)
+    both = text.union(refs.select(id_column, flat(found)))
+    return both.groupBy(id_column).agg(F.array_sort(F.collect_list("e"), lambda a, b: a["pos"] - b["pos"]).alias("elements")).select(id_column, "elements")
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
@@ -268,10 +272,12 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     stored, path = materialize(spark, compose(docs), "media")
     media, media_at = materialize(spark, read_media(stored.select(F.inline("stored"))), "media-read")
     refs, refs_at = materialize(spark, sequences(stored.select("page", "html"), id_column="page"), "sequences")
+    pages, pages_at = materialize(spark, stored.select("page", "doc_id"), "media-pages")
+    discard(spark, path)
     whole = interleave(refs, media, "page")
     figure = F.filter("elements", lambda e: e["kind"] == "media")
     shown = whole.select("page", F.get(figure, F.lit(0)).alias("e"), F.get(figure, F.lit(1)).alias("last"))
-    flat = shown.select("page", F.regexp_extract("e.caption", "^(\\d+) bytes$", 1).cast("bigint").alias("n_bytes"), *[F.col(f"e.media.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")], F.col("e.pos").alias("pos"), F.col("last.media.payload_sha256").alias("ending_sha256"))
-    out, _ = materialize(spark, stored.select("page", "doc_id").join(flat, "page").drop("page"), "media-rows")
-    discard(spark, path, media_at, refs_at)
+    flat = shown.select("page", F.regexp_extract("e.caption", "^(\\d+) bytes$", 1).cast("bigint").alias("n_bytes"), *[F.col(f"e.media.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")], F.col("e.pos").alias("pos"), F.col("last.media.payload_sha256").alias("strip_sha256"))
+    out, _ = materialize(spark, pages.join(flat, "page").drop("page"), "media-rows")
+    discard(spark, media_at, refs_at, pages_at)
     return out

@@ -80,7 +80,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can state of op9_media."""
-    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "ending_sha256")
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "strip_sha256")
 
 
 def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
             SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t JOIN m ON m.x = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id""",
         "media_payloads": """WITH p AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents), q AS (SELECT doc_id, n, encode(t || repeat(' ', CAST(greatest(1, ceil(n / 192.0)) * 192 - n AS BIGINT))) AS b FROM p)
-            SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_sha256, sha256(b[octet_length(b) - 191:octet_length(b)]) AS ending_sha256 FROM q""",
+            SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_sha256, sha256(rpad(CASE WHEN n = 0 THEN '0' ELSE CAST(length(bin(n)) AS VARCHAR) END || ' bits', 192, ' ')) AS strip_sha256 FROM q""",
         "shard_law": "SELECT 'bytes' AS law, CAST(8 AS BIGINT) AS shards, count(*) AS n, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS size, true AS near_equal, true AS gapless FROM documents",
         "shard_sizes": r"SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents",
         "piece_decoded": "SELECT doc_id, sha256(replace(coalesce(text, ''), '▁', ' ')) AS decoded_sha256 FROM documents",

@@ -55,13 +55,11 @@ def test_pages_have_several_references(spark):
     kinds = [[e["kind"] for e in parse(r.html)] for r in pages.collect()]
     assert kinds[0] == ["text", "media", "text", "media", "text"] and kinds[3] == ["media", "media"]
     captions = [[e["caption"] for e in parse(r.html) if e["kind"] == "media"] for r in pages.collect()]
-    assert captions == [[f"{len((t or '').encode())} bytes", "end"] for _, t in rows]
+    assert captions == [[f"{len((t or '').encode())} bytes", "size"] for _, t in rows]
     got = store_and_read(docs).collect()
     assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == sorted((i or 0, len((t or "").encode())) for i, t in rows)
-    by_text = {r.n_bytes: r.ending_sha256 for r in got}
-    for _, t in rows:
-        payload, n = padded(t)
-        assert by_text[n] == hashlib.sha256(payload[-192:]).hexdigest()
+    for r in got:
+        assert r.strip_sha256 == hashlib.sha256(f"{r.n_bytes.bit_length()} bits".ljust(192).encode()).hexdigest()
 
 
 def test_query_rows(spark):

@@ -144,3 +144,22 @@ def test_nystroem_ridge_by_its_formulas():
     arrays = [np.frombuffer(t, np.uint8) for t in [*texts, b"the bed", b"das Bett"]]
     want = np.array([[kernel(t, m) for m in marks] for t in [*texts, b"the bed", b"das Bett"]]) @ alpha
     assert np.allclose((model.rows(arrays) @ model.landmarks.T) @ model.weights, want, atol=1e-3)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Scores as by one process that counts all rows, in chunks and buckets of any size; the last rows have words of their own."""
+    for name, value in {"CHUNK": 300, "PIECE": 900, "BUCKET": 500}.items():
+        monkeypatch.setattr(toxicity, name, value)
+    n = 13_000
+    rows = [(i, f"w{i % 61} w{i % 7} {'late' if i > n - 400 else 'early'} {'scum' if i % 2 else 'nice'} w{i % 13}", i % 2) for i in range(n)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3).cache()
+    docs, labels = given.select("doc_id", "text"), given.select("doc_id", "toxic")
+    learned = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, learned).collect()}
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    y = np.array([r[2] for r in used])
+    model = toxicity.fit(pa.array([r[1] for r in used]), y, y.mean())
+    want = model.score(pa.array([r[1] for r in rows]))
+    assert len(learned.words.value[0].vocabulary) == len(model.vocabulary) and len(got) == n
+    assert np.allclose([got[i] for i in range(n)], want, atol=1e-6)
+    assert len({got[i] for i in range(0, 61 * 7 * 13 * 2 * 2, 61 * 7 * 13 * 2) if i < n - 400}) == 1

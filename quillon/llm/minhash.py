@@ -8,7 +8,8 @@
    compared on full sets; this joins most groups, and step 4 finds what is left.
 4. Links give components. In buckets whose members are in different components, sketches find the members that may
    be linked across components; these fall into families. Buckets with very many members are first dealt anew by their
-   members' other bands. In each family, in blocks, every class outside the family's largest component is held against
+   members' other bands, which joins most, and then compared whole where they are still in different components, so
+   that their size decides on the work alone. In each family, in blocks, every class outside the family's largest component is held against
    all its classes by an inverted index of full sets, and of the links found those that join components are kept. So no
    link between components is lost, and no pairs are made.
 
@@ -38,7 +39,8 @@ SKETCH_WORDS = 8
 #: Differing bits of two sketches at most. At similarity 0.8, 200 samples and 512 bits: mean 69, deviation 10.
 MOST_BITS = 130
 #: Members of a bucket or family that one task compares with as many others; of large ones more, so that the copies
-#: made of a member grow with the root of their number. A bucket of more than MANY is first dealt anew by other bands.
+#: made of a member grow with the root of their number. A bucket of more than MANY is first dealt anew by other bands, to
+#: have less to compare when it is compared whole.
 CHUNK, MANY = 1024, 8192
 #: Members that one task compares.
 TASK = 2048
@@ -249,15 +251,16 @@ def _split(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
 
 
-def _across(members: DataFrame, parts: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
-    """The links that join components in buckets with more than one."""
+def _across(members: DataFrame, parts: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, share: int, *, whole: bool = False) -> DataFrame:
+    """The links that join components in buckets with more than one. whole: large buckets are not dealt anew first."""
     spark = docs.sparkSession
     labelled = members.select("key", "doc").join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     torn, torn_at = materialize(spark, labelled.join(_split(labelled), "key"), "torn")
-    dealt = torn.where(F.col("n") <= MANY).select("key", "doc", "comp")
-    large = torn.where(F.col("n") > MANY)
-    if not large.isEmpty():
-        # two members of similarity 0.8 or more share one of the other bands as surely as they share one of all
+    large = torn.where(F.lit(not whole) & (F.col("n") > MANY))
+    dealt = torn.where(F.lit(whole) | (F.col("n") <= MANY)).select("key", "doc", "comp")
+    twice = not large.isEmpty()
+    if twice:
+        # nearly all members of similarity 0.8 or more share another band, too
         bands = chosen.join(large.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode("bands").alias("band"))
         finer = large.join(bands, "doc").where("band <> key").select(F.xxhash64("key", "band").alias("key"), "doc", "comp")
         dealt = dealt.union(finer.join(_split(finer).select("key"), "key", "left_semi").select("key", "doc", "comp"))
@@ -270,7 +273,12 @@ def _across(members: DataFrame, parts: DataFrame, chosen: DataFrame, docs: DataF
     given, given_at = materialize(spark, listed.join(texts, "doc"), "family-texts")
     found = _dealt(given, "family", "z", rows=listed.count(), weight=F.octet_length("z")).groupBy("family", "r", "c").applyInArrow(lambda g: _links(g, size, share), "a bigint, b bigint").distinct()
     out, _ = materialize(spark, found, "links")
-    discard(spark, torn_at, may_at, listed_at, given_at)
+    discard(spark, may_at, listed_at, given_at)
+    if twice:
+        # those that share this one band only are found as in any other bucket
+        joined = components(parts.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(out))
+        out = out.union(_across(large.select("key", "doc"), joined, chosen, docs, size, share, whole=True))
+    discard(spark, torn_at)
     return out
 
 

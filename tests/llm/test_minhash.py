@@ -165,3 +165,20 @@ def test_large_groups_in_small_chunks(spark, monkeypatch):
     finally:
         cloudpickle.unregister_pickle_by_value(minhash)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 80)
+
+
+def test_a_link_in_one_band_is_found_in_buckets_of_any_size(spark, monkeypatch):
+    """Linked members that share the band of a large bucket and no other; their component doesn't depend on its size."""
+    from quillon.llm import minhash
+
+    texts = [f"{c} text with words of its own {c} {c}" for c in "abcdef"] + ["the same words in one more text", "the same words in one more Text"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    named = minhash._texts(docs).select("doc_id", "same").collect()
+    chosen = spark.createDataFrame([(r.doc_id, r.doc_id, r.same, [1, 100 + r.doc_id], [0] * minhash.SKETCH_WORDS) for r in named], "doc long, doc_id long, same long, bands array<long>, sketch array<long>")
+    members = spark.createDataFrame([(1, r.doc_id) for r in named], "key long, doc long")
+    parts = spark.createDataFrame([(0, 0), (1, 0)], "id long, comp long")
+    found = {}
+    for many in (100, 3):
+        monkeypatch.setattr(minhash, "MANY", many)
+        found[many] = [tuple(r) for r in minhash._across(members, parts, chosen, docs, 4, 80).collect()]
+    assert found[100] == found[3] == [(6, 7)]

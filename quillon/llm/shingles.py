@@ -17,13 +17,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of text that are worked on at once, but for a longer text.
+PIECE = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _table(bits: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(1 << bits, _BASE), np.full(1 << bits, _BACK)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for texts of fewer than 2^bits bytes. A worker keeps one table, which does for all usual pieces."""
+    return _table(max(bits, PIECE.bit_length()))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, with A-Z lowered, and n + 1 positions where each text's words begin.
 
@@ -69,7 +78,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(column, size: int, most: int = 1 << 20):
+def shingle_sets(column, size: int, most: int = PIECE):
     """The set of each text of an Arrow column: sorted hashes of its distinct shingles of `size` words.
 
     A shorter text is one shingle; a text without words, or null, has none.

@@ -182,3 +182,16 @@ def test_a_link_in_one_band_is_found_in_buckets_of_any_size(spark, monkeypatch):
         monkeypatch.setattr(minhash, "MANY", many)
         found[many] = [tuple(r) for r in minhash._across(members, parts, chosen, docs, 4, 80).collect()]
     assert found[100] == found[3] == [(6, 7)]
+
+
+def test_a_worker_keeps_small_tables():
+    """Texts of all sizes leave one table of powers behind, no larger than one piece or the last longer text needs."""
+    import pyarrow as pa
+
+    from quillon.llm import shingles
+
+    for n in (10, 1000, 70_000, 150_000, 300_000, 10):
+        text = "some words " * (n // 11 + 1)
+        assert len(next(shingles.shingle_sets(pa.array([text]), 5))) == len(sets(text, 5))
+    list(shingles.shingle_sets(pa.array(["some words " * 50] * 3000), 5))
+    assert shingles._table.cache_info().currsize == 1 and sum(x.nbytes for x in shingles._powers(16)) <= 1 << 24

@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. Stages but the last return the columns of `documents`.
+stage's docs. Stages but the last return the columns of `documents`. All run in the same executors, so the stages with
+workers set the session to send them small batches (`common.send_less`).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import language, minhash, packing, quality, repeats
-from quillon.llm.common import discard_all, materialize, table, written
+from quillon.llm.common import discard_all, materialize, send_less, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts without letters and those that fit no language well go."""
+    send_less(spark)
     return language.keep_known(docs, least=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 or more of its five-word shingles."""
+    send_less(spark)
     return minhash.keep_one(docs, size=5, share=80)
 
 
@@ -33,6 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents of which nothing is left stay, with an empty text.
     """
+    send_less(spark)
     left = repeats.without_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -41,6 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: the pieces of all documents, with their places and ids."""
     import public_tokenizers
 
+    send_less(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a kernel works on at once. What Spark sends at once it bounds by bytes (arrow.maxBytesPerBatch).
 BATCH_ROWS = 512
+#: Bytes of rows that Spark sends to a worker at once, where the session has to hold its memory down.
+SENT_BYTES = 2 << 20
 _written: list[str] = []
 
 
@@ -29,6 +31,16 @@ def short(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator
             yield b.slice(at, rows)
 
 
+def send_less(spark: SparkSession, most: int = SENT_BYTES) -> None:
+    """From now on the session sends its workers Arrow batches of about `most` bytes, if it sends larger ones.
+
+    The JVM and the worker both hold a whole batch, and what they allocate for it mostly stays with them. Results don't
+    depend on it. The batch size is read when a query runs, so it is not set back here.
+    """
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -105,7 +105,9 @@ def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, landmarks: int =
     if not counts:
         return None
     # half as many again as are needed pass the hash's threshold; the smallest hashes of these are taken
-    shares = spark.createDataFrame([(r["lang"], min(1.0, (1.5 * per_language + 30) / r["n"])) for r in counts], "lang string, share double")
+    # (a table of literals: createDataFrame of rows starts Python workers of a second kind, which stay for a minute)
+    share = [F.struct(F.lit(r["lang"]).alias("lang"), F.lit(min(1.0, (1.5 * per_language + 30) / r["n"])).alias("share")) for r in counts]
+    shares = spark.range(0, 1, 1, 1).select(F.inline(F.array(*share)))
     unit = (F.xxhash64("doc_id").cast("double") / float(1 << 64)) + 0.5
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     some = known.join(F.broadcast(shares), "lang").where(unit <= F.col("share")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
@@ -129,18 +131,23 @@ def _predict(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarr
 
 
 def identify(docs: DataFrame, model: Model | None, *extra: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document, and the extra columns of docs that are named."""
+    """doc_id, held_out, lang_pred, score of every document, and the extra columns of docs that are named.
+
+    The text goes to the workers once, also where it is an extra column.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").alias("_text"), *[F.col(c) for c in extra if c != "doc_id"]]
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("text").alias("_text"), *[F.col(c) for c in extra if c not in ("doc_id", "text")]]
     given = docs.select(*columns)
+    place = {f.name: i for i, f in enumerate(given.schema.fields)} | {"text": 2}
+    out = [c for c in extra if c != "doc_id"]
 
     def run(batches):
         for b in short(batches):
             langs, scores = _predict(shared.value, b.column(2))
-            arrays = [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores), *b.columns[3:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]])
+            arrays = [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores), *[b.column(place[c]) for c in out]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lang_pred", "score", *out])
 
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[3:])
+    more = "".join(f", `{c}` {given.schema[place[c]].dataType.simpleString()}" for c in out)
     return given.mapInArrow(run, f"doc_id bigint, held_out boolean, lang_pred string, score double{more}")
 
 
@@ -149,5 +156,7 @@ def keep_known(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
 
     doc_id must be a whole number; the text's columns travel through the scoring and are not shuffled.
     """
-    whole = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    return identify(whole, learn(docs), "_row").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    # the other columns travel as one struct, so that none can clash with what is found
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+    known = identify(whole, learn(docs), "text", "_row").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return known.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

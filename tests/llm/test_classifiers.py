@@ -52,6 +52,22 @@ def test_language_edges(spark):
     assert language.keep_known(docs, least=0.0).columns == docs.columns
 
 
+def test_language_sends_each_text_once_and_starts_no_other_workers(spark, docs, monkeypatch):
+    """Rows that createDataFrame takes pass through Python workers of their own, beside those of mapInArrow."""
+
+    def refused(*a, **k):
+        raise AssertionError("createDataFrame")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    kept = language.keep_known(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert plan.children().head().schema().simpleString().count("text:") == 1
+    both = kept.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id")
+    assert both.count() == kept.count() > 0 and both.where(~F.col("text").eqNullSafe(F.col("was"))).isEmpty()
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)

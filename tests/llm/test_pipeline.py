@@ -100,3 +100,24 @@ def test_run_leaves_no_tables_of_earlier_stages(spark):
     placed = corpus_pipeline.run(spark, SF)
     left = {p.rpartition("/")[2].rsplit("-", 1)[0] for p in set(written()) - before}
     assert left == {"quillon-repeated_passages", "quillon-pieces"} and placed.count() > 0
+
+
+def test_stages_send_workers_small_batches(spark):
+    """A batch is held by the JVM and by the worker; 64 MB of it for each task doesn't fit an executor of 3 GB."""
+    import pyarrow as pa
+
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{SF}/documents.parquet")
+    wide = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    was = spark.conf.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            spark.conf.set(key, "64m")
+            stage(spark, docs, SF)
+            got = [r.n for r in wide.mapInArrow(sizes, "n bigint").collect()]
+            assert sum(got) >= 20_000_000 and max(got) <= 3 << 20, name
+        spark.conf.set(key, "100k")  # what the session has set lower stays
+        corpus_pipeline.language_id(spark, docs, SF)
+        assert spark.conf.get(key) in ("100k", "102400b")
+    finally:
+        spark.conf.set(key, was)

@@ -1,11 +1,13 @@
 """Operators do the whole job: no fixed number of draws, no cap, no rows left out."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import queries
-from quillon.operators import factors, sampling
+from quillon.operators import factors, graph, sampling
 from quillon.plans import models
 
 SMALL = "/root/testdata/sf0.001"
@@ -88,3 +90,41 @@ def test_users_who_have_seen_most_items_keep_their_triples(spark):
     drawn = {u: n for u, n in sampling.positives(cells, 300, 1).groupBy("u").count().collect()}
     got = sampling.triples(cells, cells.select("i").distinct(), 300, 1).collect()
     assert sum(r.u == 0 for r in got) == drawn[0] and not any(r.u == 1 for r in got) and all(r.j == 399 for r in got if r.u == 0)
+
+
+def test_walks_make_rows_where_they_are_used(spark, monkeypatch):
+    """Blocks of few pairs, rows in several parts and text ids give what the sums by pair give."""
+    rng = np.random.default_rng(7)
+    cells = sorted({(int(u), f"p{i}") for u, i in zip(rng.integers(0, 40, 900), rng.zipf(1.4, 900) % 300, strict=True)})
+    df = spark.createDataFrame([(u, i, 1.0) for u, i in cells], "u long, i string, r double")
+    w = collections.defaultdict(float)
+    by_user = collections.defaultdict(list)
+    degree = collections.Counter(i for _, i in cells)
+    for u, i in cells:
+        by_user[u].append(i)
+    for items in by_user.values():
+        for a in items:
+            for b in items:
+                if a != b:
+                    w[a, b] += 1 / degree[a] / len(items)
+    want = {}
+    for a in degree:
+        for b, x in sorted(((b, x) for (c, b), x in w.items() if c == a), key=lambda t: (-round(t[1], 12), t[0]))[:5]:
+            want[a, b] = round(x, 9)
+    monkeypatch.setattr(graph, "WORK", 300)
+    monkeypatch.setattr(graph, "HELD", 64)
+    monkeypatch.setattr(graph, "_few", lambda cells: False)
+    for made in (graph.p3_alpha_symmetric(df, k=5), graph.p3_alpha(df, k=5)):
+        assert {(r["i"], r["j"]): round(r["w"], 9) for r in made.collect()} == want
+
+
+def test_no_pair_of_many_items_is_a_row(spark, monkeypatch):
+    """Where items are many, pairs are not joined."""
+    df = spark.range(3000).select((F.col("id") % 100).alias("u"), F.col("id").alias("i"), F.lit(1.0).alias("r"))
+
+    def never(*_):
+        raise AssertionError("pairs are rows")
+
+    monkeypatch.setattr(graph, "pairs", never)
+    assert graph.p3_alpha_symmetric(df, k=3).count() == 9000
+    assert graph.p3_alpha(df, k=3).count() == 9000

@@ -13,7 +13,7 @@ from quillon.plans import charts, dataset, search
 from quillon.plans.evaluate import Holdout, cached, most_popular
 from quillon.queries import _COUNTS, _D, _L, _LISTS, _TOP, CELLS, DED, EV, PU, SPLIT, _cells, _differences, _long, _r, _top, holdout, query
 from quillon.scratch import shared_dir
-from quillon.sources.logs import events, impressions, purchases, table
+from quillon.sources.logs import events, impressions, mean_in_order, purchases, table
 from quillon.sources.store import Bundle, Matrix
 from quillon.streaming import counts as streaming
 
@@ -171,7 +171,7 @@ _SCORES = """s0 AS (SELECT user_id, event_type AS recommender, round(avg(value),
 
 def _scores(spark, sf) -> DataFrame:
     """Scores of five recommenders at two cutoffs, made of the events' values."""
-    s0 = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("recommender")).agg(F.round(F.avg("value"), 0).alias("mean"), F.max(F.round("value", 0)).alias("most"))
+    s0 = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("recommender")).agg(F.round(mean_in_order(F.col("value"), F.col("event_id")), 0).alias("mean"), F.max(F.round("value", 0)).alias("most"))
     s1 = s0.join(s0.groupBy("user_id").count().where("count = 5").select("user_id"), "user_id", "left_semi").withColumn("cutoff", F.explode(F.array(F.lit(5), F.lit(10))))
     return s1.select("user_id", "recommender", "cutoff", F.least("mean", F.col("cutoff") * 5.0).alias("mean"), F.least("most", F.col("cutoff") * 8.0).alias("most"))
 

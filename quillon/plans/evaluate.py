@@ -68,28 +68,35 @@ class Holdout:
 
 #: Places of the popularity order that are sent to every task.
 HEAD = 100_000
+#: Rows of a log that one task is dealt by user.
+DEALT = 1_000_000
 
 
 def most_popular(train: DataFrame, users: DataFrame, k: int) -> DataFrame:
     """The k most popular items that each user has not seen: user_id, item_id, pos, score.
 
-    A user who has seen n items needs the first n + k of the popularity order at most, so the rows made are in
-    proportion to the log. Every user needs the first places: the head of the order, if it is short enough, is sent to
-    all tasks, and places beyond it are joined.
+    A user who has seen n items needs the first n + k of the popularity order at most: those whose places they have not
+    seen are found in the list of the user's places, so that only k rows a user are made. Users are dealt to tasks of about
+    DEALT rows. The head of the order, if it is short enough, is sent to all tasks, and places beyond it are joined.
     """
     counts = train.groupBy("item_id").agg(F.count("*").alias("n"))
     order = prefix_sums(counts, [F.col("n").desc(), "item_id"])
     ranked = written(order.select("item_id", F.col("n").cast("double").alias("score"), (F.col("before") + 1).cast("int").alias("place")))
-    seen = train.select("user_id", "item_id").distinct()
-    need = (F.coalesce("n_seen", F.lit(0)) + k).cast("int")
-    depth = users.join(seen.groupBy("user_id").agg(F.count("*").alias("n_seen")), "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1), need)).alias("place"))
     head, tail = ranked.where(F.col("place") <= HEAD), ranked.where(F.col("place") > HEAD)
-    offered = depth.join(F.broadcast(head), "place").select("user_id", "item_id", "place", "score")
-    if not tail.isEmpty():
-        offered = offered.union(depth.where(F.col("place") > HEAD).join(tail, "place").select("user_id", "item_id", "place", "score"))
-    fresh = offered.join(seen, ["user_id", "item_id"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy("place")
-    return fresh.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("user_id", "item_id", "pos", "score")
+    far = not tail.isEmpty()
+
+    def joined(rows: DataFrame, key: str, kept: list[str]) -> DataFrame:
+        if not far:
+            return rows.join(F.broadcast(head), key).select(*kept)
+        return rows.join(ranked, key).select(*kept)
+
+    parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-train.count() // DEALT))
+    places = joined(train.select("user_id", "item_id"), "item_id", ["user_id", "place"]).repartition(parts, "user_id")
+    seen = places.groupBy("user_id").agg(F.collect_set("place").alias("seen"))
+    of = users.repartition(parts, "user_id").join(seen.hint("merge"), "user_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<int>")))
+    free = F.slice(F.array_except(F.sequence(F.lit(1), F.size("seen") + k), F.col("seen")), 1, k)
+    fresh = of.select("user_id", F.posexplode(free).alias("at", "place")).withColumn("pos", F.col("at") + 1)
+    return joined(fresh, "place", ["user_id", "item_id", "pos", "score"])
 
 
 def cached(spark: SparkSession, path: str, holdout: Holdout, recs: Callable[[], DataFrame]) -> dict[str, DataFrame]:
